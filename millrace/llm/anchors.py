@@ -24,6 +24,7 @@ from millrace.llm import common, kernels, windows
 
 WINDOW, BLOCK, GRAM = 50, 25, 8
 PROBE = np.dtype([("m", "<u8"), ("key", "<i8"), ("ref", "<i8")])
+HIT = np.dtype([("key", "<i8"), ("m", "<u8")])
 U = np.uint64
 
 
@@ -37,7 +38,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _hits(base: DataFrame) -> DataFrame:
-    """Rows (key, blobs): the block keys that a row shares with another one's index."""
+    """Rows (key, hits): the block keys that a row shares with another one's index."""
     n = common.parts(base.sparkSession)
 
     def probe(frames):
@@ -58,38 +59,34 @@ def _hits(base: DataFrame) -> DataFrame:
                 size = np.diff(first, append=len(m))
                 e = np.empty(len(first), dtype=PROBE)
                 e["m"], e["key"], e["ref"] = m[first], key[a:b][of[first]], np.maximum.reduceat(ref, first) if len(first) else 0
-                f1 = common.deal(e, kernels.mix(e["m"]), 4 * n)
-                f1.insert(1, "key", np.int64(0))
-                yield f1
+                yield common.deal(e, kernels.mix(e["m"]), 4 * n)
                 many = np.repeat(size > 1, size)  # rows of this batch that meet need no answer
-                yield _lists(key[a:b][of[many]], m[many], -1)
+                yield windows.to_rows(_hit(key[a:b][of[many]], m[many]), n)
 
     def meet(frames):
         got = []
         for f in frames:
-            own = f["bucket"] >= 0
-            got += [np.frombuffer(b, dtype=PROBE) for b in f["blob"][own]]
-            if not own.all():
-                yield f.loc[~own, ["key", "blob"]]
+            ask = f["bucket"] >= 0
+            got += [np.frombuffer(b, dtype=PROBE) for b in f["blob"][ask]]
+            if not ask.all():
+                yield f[~ask]
         if got:
             e = np.concatenate(got)
             e = e[np.argsort(e["m"], kind="stable")]
             first = kernels.runs(e["m"])
             size = np.diff(first, append=len(e))
             use = np.repeat((size > 1) & (np.maximum.reduceat(e["ref"], first) > 0), size)
-            yield _lists(e["key"][use], e["m"][use], -1)[["key", "blob"]]
+            yield windows.to_rows(_hit(e["key"][use], e["m"][use]), n)
 
-    dealt = base.select("key", "t").mapInPandas(probe, "bucket int, key long, blob binary")
-    dealt = dealt.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("key"))).repartition(n, "to")
-    return dealt.select("bucket", "key", "blob").mapInPandas(meet, "key long, blob binary").groupBy("key").agg(F.collect_list("blob").alias("hits"))
+    asked = base.select("key", "t").mapInPandas(probe, "bucket int, blob binary")
+    answers = windows.dealt(asked).mapInPandas(meet, "bucket int, blob binary")
+    return windows.gathered(answers, HIT).select("key", F.col("blob").alias("hits"))
 
 
-def _lists(key: np.ndarray, m: np.ndarray, bucket: int) -> pd.DataFrame:
-    order = np.argsort(key, kind="stable")
-    key, m = key[order], m[order]
-    first = kernels.runs(key)
-    stop = kernels.stops(first, len(key))
-    return pd.DataFrame({"bucket": np.full(len(first), bucket, dtype=np.int32), "key": key[first], "blob": [m[a:b].tobytes() for a, b in zip(first, stop, strict=True)]})
+def _hit(key: np.ndarray, m: np.ndarray) -> np.ndarray:
+    out = np.empty(len(key), dtype=HIT)
+    out["key"], out["m"] = key, m
+    return out
 
 
 def repeats(base: DataFrame) -> DataFrame:
@@ -109,7 +106,7 @@ def repeats(base: DataFrame) -> DataFrame:
                 at, of = w.whole(BLOCK)
                 if not len(at):
                     continue
-                lists = [common.read_blobs(h, "<u8") for h in f["hits"].iloc[a:b]]
+                lists = [np.frombuffer(h, dtype="<u8") for h in f["hits"].iloc[a:b]]
                 salt = lambda i: (i.astype(U) + U(1)) * U(kernels.BASE)
                 want = np.unique(np.concatenate(lists) ^ salt(np.repeat(np.arange(b - a), list(map(len, lists)))))
                 have = _block_keys(w)[at] ^ salt(of)
@@ -120,18 +117,18 @@ def repeats(base: DataFrame) -> DataFrame:
                 near = sums[at + BLOCK + 1] > sums[at]  # a hit starts at one of the window's first BLOCK + 1 words
                 at, of = at[near], of[near]
                 fp = kernels.rolling(w.hash, WINDOW)[at]
-                yield from windows.sent(windows.entries(fp, ident[a:b][of], key[a:b][of], at - w.first[:-1][of]), "smaller", WINDOW, 4 * n)
+                yield from windows.sent(windows.entries(fp, ident[a:b][of], key[a:b][of], at - w.first[:-1][of]), "smaller", WINDOW, n)
 
-    frames = near.select("id", "key", "t", "hits").mapInPandas(compare, "bucket int, key long, blob binary")
-    return windows.resolve(frames, "smaller", WINDOW).groupBy("key").agg(F.collect_list("blob").alias("found"))
+    frames = near.select("id", "key", "t", "hits").mapInPandas(compare, "bucket int, blob binary")
+    return windows.gathered(windows.resolve(frames, "smaller", WINDOW), windows.SPAN).select("key", F.col("blob").alias("found"))
 
 
-def _cut(raw: bytes, blobs) -> tuple[list[bytes], int, np.ndarray, np.ndarray]:
+def _cut(raw: bytes, found: bytes | None) -> tuple[list[bytes], int, np.ndarray, np.ndarray]:
     """Words of the text that stay, how many there were, and the removed intervals."""
     words = raw.split()
-    if blobs is None or not len(blobs):
+    if not found:
         return words, len(words), np.zeros(0, int), np.zeros(0, int)
-    start, end = windows.unpack(blobs)
+    start, end = windows.unpack(found)
     kept, last = [], 0
     for s, e in zip(start.tolist(), end.tolist(), strict=True):
         kept += words[last:s]
@@ -147,8 +144,8 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(frames):
         for f in frames:
             out = []
-            for raw, blobs in zip(kernels.utf8(f["t"]), f["found"], strict=True):
-                kept, n, start, end = _cut(raw, blobs)
+            for raw, found in zip(kernels.utf8(f["t"]), f["found"], strict=True):
+                kept, n, start, end = _cut(raw, found)
                 out.append((n, n - len(kept), b" ".join(kept), np.stack([start, end], axis=1).ravel().tolist()))
             g = pd.DataFrame({"id": f["id"], "n_words": [o[0] for o in out], "n_removed": [o[1] for o in out], "kept": common.texts(o[2].decode() for o in out), "spans": [o[3] for o in out]})
             yield g
@@ -168,11 +165,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     @F.pandas_udf("string")
     def cut(text: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for t, blobs in zip(text, found, strict=True):
-            if not isinstance(t, str) or blobs is None or not len(blobs):
+        for t, blob in zip(text, found, strict=True):
+            if not isinstance(t, str) or not blob:
                 out.append(t if isinstance(t, str) else None)
             else:
-                out.append(b" ".join(_cut(t.encode(), blobs)[0]).decode())
+                out.append(b" ".join(_cut(t.encode(), blob)[0]).decode())
         return common.texts(out)
 
     rows = base.join(found, "__key", "left").withColumn("__text", F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__found"))))

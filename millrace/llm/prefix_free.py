@@ -67,17 +67,6 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
 
 
-def _rows(key: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, bucket: bool) -> pd.DataFrame:
-    order = np.argsort(key, kind="stable")
-    key, start, end = key[order], start[order], end[order]
-    first = kernels.runs(key)
-    stop = kernels.stops(first, len(key))
-    out = pd.DataFrame({"key": key[first], "kind": np.full(len(first), kind, dtype=np.int32), "blob": [windows.pack(start[a:b], end[a:b]) for a, b in zip(first, stop, strict=True)]})
-    if bucket:
-        out.insert(0, "bucket", np.int32(-1))
-    return out
-
-
 def dictionary(base: DataFrame) -> DataFrame:
     """Rows (key, kind, blob): bytes of phrases that occur again (kind 0), phrases to compare by window (kind 1)."""
     n = common.parts(base.sparkSession)
@@ -101,20 +90,16 @@ def dictionary(base: DataFrame) -> DataFrame:
                 mixed = one[np.repeat(compare, kinds)]  # compared anyway: one of them tells the others
                 send = one[first].copy()
                 send["mixed"] = compare
-                f1 = common.deal(send, kernels.mix(send["m"]), 4 * n)
-                f1.insert(1, "key", np.int64(0))
-                f1.insert(2, "kind", np.int32(-1))
-                yield f1
-                yield _rows(again["key"], again["start"], again["start"] + again["n"] - 1 + WIDTH, 0, True)
-                yield _rows(mixed["key"], mixed["start"], mixed["start"] + mixed["n"], 1, True)
+                yield common.deal(send, kernels.mix(send["m"]), 4 * n)
+                yield _answers(again, mixed)
 
     def meet(frames):
         got = []
         for f in frames:
-            own = f["bucket"] >= 0
-            got += [np.frombuffer(b, dtype=PHRASE) for b in f["blob"][own]]
-            if not own.all():
-                yield f.loc[~own, ["key", "kind", "blob"]]
+            ask = f["bucket"] >= 0
+            got += [np.frombuffer(b, dtype=PHRASE) for b in f["blob"][ask]]
+            if not ask.all():
+                yield f[~ask]
         if not got:
             return
         e = np.concatenate(got)
@@ -122,7 +107,6 @@ def dictionary(base: DataFrame) -> DataFrame:
         first = kernels.runs(e["m"], e["phrase"])
         times = np.diff(first, append=len(e))
         again = e[np.repeat(np.add.reduceat(e["count"], first) > 1, times)]
-        yield _rows(again["key"], again["start"], again["start"] + again["n"] - 1 + WIDTH, 0, False)
         of = kernels.runs(e["m"])
         entries = np.diff(of, append=len(e))
         kinds = np.add.reduceat(np.isin(np.arange(len(e)), first).astype(np.int64), of)
@@ -130,19 +114,21 @@ def dictionary(base: DataFrame) -> DataFrame:
         some = np.repeat((kinds > 1) | ((mixed > 0) & (entries > 1)), entries)
         head = np.zeros(len(e), dtype=bool)
         head[first] = True
-        ask = e[some & head & (e["mixed"] == 0)]
-        yield _rows(ask["key"], ask["start"], ask["start"] + ask["n"], 1, False)
+        yield _answers(again, e[some & head & (e["mixed"] == 0)])
+
+    def _answers(again, ask):
+        covered = windows.answers(again["key"], again["start"], again["start"] + again["n"] - 1 + WIDTH, 0)
+        return windows.to_rows(np.concatenate([covered, windows.answers(ask["key"], ask["start"], ask["start"] + ask["n"], 1)]), n)
 
-    dealt = base.select("key", "t").mapInPandas(cut, "bucket int, key long, kind int, blob binary")
-    dealt = dealt.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("key"))).repartition(n, "to")
-    return dealt.select("bucket", "key", "kind", "blob").mapInPandas(meet, "key long, kind int, blob binary")
+    asked = base.select("key", "t").mapInPandas(cut, "bucket int, blob binary")
+    return windows.gathered(windows.dealt(asked).mapInPandas(meet, "bucket int, blob binary"), windows.SPAN)
 
 
 def repeats(base: DataFrame) -> DataFrame:
     """Rows (key, found): intervals of bytes that are covered by a repeated window."""
     n = common.parts(base.sparkSession)
     parsed = common.written(dictionary(base), "phrases")
-    asked = base.join(parsed.where("kind = 1").groupBy("key").agg(F.collect_list("blob").alias("ask")), "key", "left")
+    asked = base.join(parsed.where("kind = 1").select("key", F.col("blob").alias("ask")), "key", "left")
 
     def compare(frames):
         for f in frames:
@@ -159,11 +145,11 @@ def repeats(base: DataFrame) -> DataFrame:
                 pos, of = kernels.ranges(start, size), np.repeat(of, size)
                 at = buf.at[:-1][of] + pos
                 fp = kernels.spans(kernels.prefix_sums(buf.codes()), at, at + WIDTH)
-                yield from windows.sent(windows.entries(fp, np.ones(len(fp), np.int64), key[a:b][of], pos), "twice", WIDTH, 4 * n)
+                yield from windows.sent(windows.entries(fp, np.ones(len(fp), np.int64), key[a:b][of], pos), "twice", WIDTH, n)
 
-    frames = asked.select("key", "t", "ask").mapInPandas(compare, "bucket int, key long, blob binary")
-    found = windows.resolve(frames, "twice", WIDTH).unionByName(parsed.where("kind = 0").select("key", "blob"))
-    return found.groupBy("key").agg(F.collect_list("blob").alias("found"))
+    frames = asked.select("key", "t", "ask").mapInPandas(compare, "bucket int, blob binary")
+    by_window = windows.gathered(windows.resolve(frames, "twice", WIDTH), windows.SPAN).select("key", "blob")
+    return by_window.unionByName(parsed.where("kind = 0").select("key", "blob")).groupBy("key").agg(F.collect_list("blob").alias("found"))
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +161,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for f in frames:
             out = []
             for raw, blobs in zip(kernels.utf8(f["t"]), f["found"], strict=True):
-                start, end = windows.unpack(blobs)
+                start, end = windows.unpack(b"".join(blobs) if blobs is not None else None)
                 edge = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(edge[0::2], edge[1::2], strict=True))
                 out.append((len(raw), len(raw) - len(kept), len(start), kept, edge[1:-1]))

@@ -15,12 +15,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from millrace.llm import common, kernels
 
 ENTRY = np.dtype([("fp", "<u8"), ("id", "<i8"), ("key", "<i8"), ("pos", "<i4")])
 FOUND = np.dtype([("start", "<i4"), ("end", "<i4")])
+SPAN = np.dtype([("key", "<i8"), ("start", "<i4"), ("end", "<i4"), ("kind", "<i4")])
 NO_ID = np.int64(2**63 - 1)
 
 
@@ -60,56 +60,86 @@ def decided(e: np.ndarray, rule: str) -> np.ndarray:
     return e[(np.add.reduceat(e["id"], first) > 1)[group]]
 
 
-def by_key(e: np.ndarray, width: int) -> pd.DataFrame:
-    """Places that count as rows (key, kind 0, blob of intervals)."""
+def spans_of(e: np.ndarray, width: int) -> np.ndarray:
+    """What the windows that count cover in their rows, as disjoint intervals."""
     e = e[np.lexsort((e["pos"], e["key"]))]
-    first = kernels.runs(e["key"])
-    stop = kernels.stops(first, len(e))
-    blobs = []
-    for a, b in zip(first, stop, strict=True):
-        start = e["pos"][a:b].astype(np.int64)
-        blobs.append(pack(*kernels.union(start, start + width)))
-    return pd.DataFrame({"key": e["key"][first], "blob": blobs})
+    pos = e["pos"].astype(np.int64)
+    new = np.ones(len(e), dtype=bool)
+    new[1:] = (e["key"][1:] != e["key"][:-1]) | (pos[1:] > pos[:-1] + width)
+    first = np.flatnonzero(new)
+    return answers(e["key"][first], pos[first], pos[kernels.stops(first, len(e)) - 1] + width, 0)
 
 
-def pack(start: np.ndarray, end: np.ndarray) -> bytes:
-    out = np.empty(len(start), dtype=FOUND)
-    out["start"], out["end"] = start, end
-    return out.tobytes()
+def answers(key: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
+    out = np.empty(len(key), dtype=SPAN)
+    out["key"], out["start"], out["end"], out["kind"] = key, start, end, kind
+    return out
+
+
+def to_rows(e: np.ndarray, n: int) -> pd.DataFrame:
+    """Answers on their way: one blob for each of n targets, however many rows they are for (bucket < 0)."""
+    f = common.deal(e, kernels.mix(e["key"].view(np.uint64)), n)
+    f["bucket"] = -1 - f["bucket"]
+    return f
+
+
+def dealt(frames: DataFrame) -> DataFrame:
+    return frames.repartition(common.parts(frames.sparkSession), "bucket")
 
 
-def unpack(blobs) -> tuple[np.ndarray, np.ndarray]:
-    """Union of the intervals of a row's blobs."""
-    x = common.read_blobs(blobs if blobs is not None else [], FOUND)
+def gathered(frames: DataFrame, dtype: np.dtype) -> DataFrame:
+    """Rows (key, kind, blob): each row's answers in one place. dtype: key, payload ..., and kind if it has one."""
+    payload = [c for c in dtype.names if c not in ("key", "kind")]
+
+    def run(parts):
+        got = [np.frombuffer(b, dtype=dtype) for f in parts for b in f["blob"]]
+        if not got:
+            return
+        e = np.concatenate(got)
+        del got
+        kind = e["kind"] if "kind" in dtype.names else np.zeros(len(e), np.int32)
+        order = np.lexsort((kind, e["key"]))
+        e, kind = e[order], kind[order]
+        first = kernels.runs(e["key"], kind)
+        rest = np.empty(len(e), dtype=[(c, dtype[c]) for c in payload])
+        for c in payload:
+            rest[c] = e[c]
+        stop = kernels.stops(first, len(e))
+        for a in range(0, len(first), 10_000):
+            yield pd.DataFrame({"key": e["key"][first[a : a + 10_000]], "kind": kind[first[a : a + 10_000]], "blob": [rest[x:y].tobytes() for x, y in zip(first[a : a + 10_000], stop[a : a + 10_000], strict=True)]})
+
+    return dealt(frames).mapInPandas(run, "key long, kind int, blob binary")
+
+
+def unpack(blob: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Union of a row's intervals."""
+    x = np.frombuffer(blob or b"", dtype=FOUND)
     return kernels.union(x["start"].astype(np.int64), x["end"].astype(np.int64))
 
 
-def sent(e: np.ndarray, rule: str, width: int, buckets: int):
-    """Frames (bucket, key, blob): bucket >= 0 with entries, or -1 with a row's intervals."""
+def sent(e: np.ndarray, rule: str, width: int, n: int):
+    """Frames (bucket, blob): bucket >= 0 with entries that need an answer, < 0 with answers."""
     send, known = in_batch(e, rule)
     if len(send):
-        f = common.deal(send, kernels.mix(send["fp"]), buckets)
-        f.insert(1, "key", np.int64(0))
-        yield f
+        yield common.deal(send, kernels.mix(send["fp"]), 4 * n)
     if len(known):
-        f = by_key(known, width)
-        f.insert(0, "bucket", np.int32(-1))
-        yield f
+        yield to_rows(spans_of(known, width), n)
 
 
 def resolve(frames: DataFrame, rule: str, width: int) -> DataFrame:
-    """Rows (key, blob of intervals) from the frames that tasks have sent."""
+    """Frames of answers only (bucket, blob) from the frames that tasks have sent."""
+    n = common.parts(frames.sparkSession)
 
     def run(parts):
         got = []
         for f in parts:
-            own = f["bucket"] >= 0
-            got += [np.frombuffer(b, dtype=ENTRY) for b in f["blob"][own]]
-            if not own.all():
-                yield f.loc[~own, ["key", "blob"]]
+            ask = f["bucket"] >= 0
+            got += [np.frombuffer(b, dtype=ENTRY) for b in f["blob"][ask]]
+            if not ask.all():
+                yield f[~ask]
         if got:
-            yield by_key(decided(np.concatenate(got), rule), width)
+            e = np.concatenate(got)
+            del got
+            yield to_rows(spans_of(decided(e, rule), width), n)
 
-    n = common.parts(frames.sparkSession)
-    dealt = frames.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("key"))).repartition(n, "to")
-    return dealt.select("bucket", "key", "blob").mapInPandas(run, "key long, blob binary")
+    return dealt(frames).mapInPandas(run, "bucket int, blob binary")
