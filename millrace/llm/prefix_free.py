@@ -4,8 +4,10 @@ Triggers of a rolling hash over TRIGGER bytes cut every text: a window of WIDTH
 of least hash in it, and a phrase is what consecutive windows of one trigger cover. Triggers depend on the
 bytes near them alone, so equal stretches of text are parsed alike. The dictionary holds the distinct phrases
 with their counts. All windows of a phrase that occurs again are repeats. Phrases that share a trigger but
-are not equal may share some of their windows: for those, and for one copy of each phrase of the dictionary
-with that trigger, windows are compared one by one, by 64-bit hashes.
+are not equal may share some of their windows. Those, one copy of each, are cut again: a piece holds the
+windows whose trigger lies STEP * k to STEP * k + STEP - 1 bytes behind their start. Pieces whose common core
+(the bytes that all windows of such a piece hold) occurs once have no repeats, pieces that occur again whole
+are repeats, and of the few that are left the windows are compared one by one, by 64-bit hashes.
 
 What this leaves out of the method's name: the dictionary's suffixes are not sorted. The answer needs the
 classes of equal WIDTH-byte prefixes among them, not their order, and hashes give the classes without
@@ -29,73 +31,104 @@ from millrace.llm import common, kernels, windows
 WIDTH, TRIGGER = 400, 16
 #: A phrase of more windows (a text that repeats itself) is cut; this changes the work, not the result.
 LONGEST = 512
+STEP = 32
 PHRASE = np.dtype([("m", "<u8"), ("phrase", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4"), ("count", "<i4"), ("mixed", "<i4")])
 U = np.uint64
 
 
-def parse(b: kernels.Bytes) -> tuple[np.ndarray, ...]:
-    """Phrases of a batch: trigger, phrase hash, text, first window (in the text), number of windows, and
-    whether the trigger occurs in the phrase more than once, so that windows of the phrase may be equal."""
-    at, of = b.whole(WIDTH)
-    if not len(at):
-        z = np.zeros(0, np.int64)
-        return z.astype(U), z.astype(U), z, z, z, z > 0
-    codes = b.codes()
-    grams, reach = kernels.rolling(codes, TRIGGER), WIDTH - TRIGGER + 1
-    m = kernels.sliding_min(grams, reach)
-    top = np.zeros(len(grams) + reach - 1, dtype=U)
-    top[reach - 1 + at] = m[at]
-    m = m[at]
-    chosen = np.flatnonzero(~kernels.sliding_min(~top, reach) == grams)  # places that are some window's trigger
-    first = kernels.runs(m, of)
-    size = np.diff(first, append=len(m))
-    pieces = -(-size // LONGEST)
-    step = kernels.ranges(np.zeros(len(first), np.int64), pieces) * LONGEST
-    first = np.repeat(first, pieces) + step
-    size = np.minimum(np.repeat(size, pieces) - step, LONGEST)
-    start = at[first]
-    phrase = kernels.spans(kernels.prefix_sums(codes), start, start + size - 1 + WIDTH)
-    m = m[first]
-    low = np.searchsorted(chosen, start)
-    many = np.searchsorted(chosen, start + size + reach - 1) - low
-    same = grams[chosen[kernels.ranges(low, many)]] == np.repeat(m, many)
-    times = np.bincount(np.repeat(np.arange(len(m)), many)[same], minlength=len(m))
-    return m, kernels.mix(phrase ^ kernels.mix(size.astype(U))), of[first], start - b.at[:-1][of[first]], size, times > 1
+class Parse:
+    """Triggers of a batch. at, of: windows and their texts; m: their triggers' hashes; chosen: places of triggers."""
+
+    def __init__(self, b: kernels.Bytes):
+        self.b, self.codes = b, b.codes()
+        self.at, self.of = b.whole(WIDTH)
+        self.grams, self.reach = kernels.rolling(self.codes, TRIGGER), WIDTH - TRIGGER + 1
+        m = kernels.sliding_min(self.grams, self.reach)
+        top = np.zeros(len(self.grams) + self.reach - 1, dtype=U)
+        top[self.reach - 1 + self.at] = m[self.at]
+        self.m = m[self.at]
+        self.chosen = np.flatnonzero(~kernels.sliding_min(~top, self.reach) == self.grams) if len(self.at) else self.at
+
+    def phrases(self) -> tuple[np.ndarray, ...]:
+        """Trigger, phrase hash, text, first window (in the text), number of windows, and whether the trigger
+        occurs in the phrase more than once, so that windows of the phrase may be equal."""
+        first = kernels.runs(self.m, self.of)
+        size = np.diff(first, append=len(self.m))
+        pieces = -(-size // LONGEST)
+        step = kernels.ranges(np.zeros(len(first), np.int64), pieces) * LONGEST
+        first = np.repeat(first, pieces) + step
+        size = np.minimum(np.repeat(size, pieces) - step, LONGEST)
+        start, of, m = self.at[first], self.of[first], self.m[first]
+        phrase = kernels.spans(kernels.prefix_sums(self.codes), start, start + size - 1 + WIDTH)
+        low = np.searchsorted(self.chosen, start)
+        many = np.searchsorted(self.chosen, start + size + self.reach - 1) - low
+        same = self.grams[self.chosen[kernels.ranges(low, many)]] == np.repeat(m, many)
+        times = np.bincount(np.repeat(np.arange(len(m)), many)[same], minlength=len(m))
+        return m, kernels.mix(phrase ^ kernels.mix(size.astype(U))), of, start - self.b.at[:-1][of], size, times > 1
+
+    def pieces(self, of: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Core hash, whole hash, text, first window and number of windows of the pieces of some windows of a text."""
+        first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(self.b.at) - 1 - WIDTH + 1, 0))])[:-1]  # of each text, among all windows
+        w = kernels.ranges(first[of] + start, size)
+        at, m, text = self.at[w], self.m[w], self.of[w]
+        run = kernels.runs(m, text, np.cumsum(np.diff(w, prepend=-2) != 1))
+        n = np.diff(run, append=len(w))
+        low = np.searchsorted(self.chosen, at[run])
+        many = np.searchsorted(self.chosen, at[run] + n + self.reach - 1) - low
+        place, owner = self.chosen[kernels.ranges(low, many)], np.repeat(np.arange(len(run)), many)
+        own = self.grams[place] == m[run][owner]
+        place, owner = place[own], owner[own]
+        mine = np.repeat(np.arange(len(run)), n)
+        trigger = place[np.searchsorted(owner << 32 | place, mine << 32 | at)]  # the first one in the window
+        k = (trigger - at) // STEP
+        head = kernels.runs(mine, trigger, k)
+        n = np.diff(head, append=len(w))
+        sums, a = kernels.prefix_sums(self.codes), at[head]
+        last = trigger[head] - STEP * k[head]  # where the piece's last window would start
+        core = kernels.mix(kernels.spans(sums, last, last - STEP + 1 + WIDTH) ^ kernels.mix(k[head].astype(U)))
+        whole = kernels.mix(kernels.spans(sums, a, a + n - 1 + WIDTH) ^ kernels.mix(((last - a) << 8 | n).astype(U)))
+        return core, whole, text[head], a - self.b.at[:-1][text[head]], n
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
 
 
-def dictionary(base: DataFrame) -> DataFrame:
-    """Rows (key, kind, blob): bytes of phrases that occur again (kind 0), phrases to compare by window (kind 1)."""
-    n = common.parts(base.sparkSession)
-
-    def cut(frames):
-        for f in frames:
-            raw, key = kernels.utf8(f["t"]), f["key"].to_numpy(np.int64)
-            for a, b in kernels.batches(raw):
-                m, phrase, of, start, size, inner = parse(kernels.Bytes(raw[a:b]))
-                e = np.empty(len(m), dtype=PHRASE)
-                e["m"], e["phrase"], e["key"], e["start"], e["n"], e["count"], e["mixed"] = m, phrase, key[a:b][of], start, size, 1, inner
-                e = e[np.lexsort((e["phrase"], e["m"]))]
-                first = kernels.runs(e["m"], e["phrase"])
-                times = np.diff(first, append=len(e))
-                again = e[np.repeat(times > 1, times)]
-                one = e[first].copy()  # equal phrases of the batch go as one
-                one["count"] = np.minimum(times, 2)
-                first = kernels.runs(one["m"])
-                kinds = np.diff(first, append=len(one))
-                compare = (kinds > 1) | (np.maximum.reduceat(one["mixed"], first) > 0 if len(one) else kinds > 1)
-                mixed = one[np.repeat(compare, kinds)]  # compared anyway: one of them tells the others
-                send = one[first].copy()
-                send["mixed"] = compare
-                yield common.deal(send, kernels.mix(send["m"]), 4 * n)
-                yield _answers(again, mixed)
-
-    def meet(frames):
+def _classes(m: np.ndarray, phrase: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, inner: np.ndarray, n: int):
+    """Frames (bucket, blob) of a batch's phrases, or pieces: equal ones go as one, and so do those of one m."""
+    e = np.empty(len(m), dtype=PHRASE)
+    e["m"], e["phrase"], e["key"], e["start"], e["n"], e["count"], e["mixed"] = m, phrase, key, start, size, 1, inner
+    if not len(e):
+        return
+    e = e[np.lexsort((e["phrase"], e["m"]))]
+    first = kernels.runs(e["m"], e["phrase"])
+    times = np.diff(first, append=len(e))
+    again = e[np.repeat(times > 1, times)]
+    one = e[first].copy()
+    one["count"] = np.minimum(times, 2)
+    first = kernels.runs(one["m"])
+    kinds = np.diff(first, append=len(one))
+    compare = (kinds > 1) | (np.maximum.reduceat(one["mixed"], first) > 0)
+    mixed = one[np.repeat(compare, kinds)]  # compared anyway: one of them tells the others
+    send = one[first].copy()
+    send["mixed"] = compare
+    yield common.deal(send, kernels.mix(send["m"]), 4 * n)
+    yield _answers(again, mixed, n)
+
+
+def _answers(again: np.ndarray, ask: np.ndarray, n: int) -> pd.DataFrame:
+    """Bytes of what occurs again (kind 0), and windows to compare (kind 1), on their way to their rows."""
+    covered = windows.answers(again["key"], again["start"], again["start"] + again["n"] - 1 + WIDTH, 0)
+    return windows.to_rows(np.concatenate([covered, windows.answers(ask["key"], ask["start"], ask["start"] + ask["n"], 1)]), n)
+
+
+def _met(frames: DataFrame) -> DataFrame:
+    """Rows (key, kind, blob) of answers: bytes that are covered (kind 0), windows that must be compared (kind 1)."""
+    n = common.parts(frames.sparkSession)
+
+    def meet(parts):
         got = []
-        for f in frames:
+        for f in parts:
             ask = f["bucket"] >= 0
             got += [np.frombuffer(b, dtype=PHRASE) for b in f["blob"][ask]]
             if not ask.all():
@@ -103,53 +136,73 @@ def dictionary(base: DataFrame) -> DataFrame:
         if not got:
             return
         e = np.concatenate(got)
+        del got
         e = e[np.lexsort((e["phrase"], e["m"]))]
         first = kernels.runs(e["m"], e["phrase"])
         times = np.diff(first, append=len(e))
         again = e[np.repeat(np.add.reduceat(e["count"], first) > 1, times)]
         of = kernels.runs(e["m"])
         entries = np.diff(of, append=len(e))
-        kinds = np.add.reduceat(np.isin(np.arange(len(e)), first).astype(np.int64), of)
-        mixed = np.maximum.reduceat(e["mixed"], of)
-        some = np.repeat((kinds > 1) | ((mixed > 0) & (entries > 1)), entries)
         head = np.zeros(len(e), dtype=bool)
         head[first] = True
-        yield _answers(again, e[some & head & (e["mixed"] == 0)])
-
-    def _answers(again, ask):
-        covered = windows.answers(again["key"], again["start"], again["start"] + again["n"] - 1 + WIDTH, 0)
-        return windows.to_rows(np.concatenate([covered, windows.answers(ask["key"], ask["start"], ask["start"] + ask["n"], 1)]), n)
+        kinds = np.add.reduceat(head.astype(np.int64), of)
+        mixed = np.maximum.reduceat(e["mixed"], of)
+        some = np.repeat((kinds > 1) | ((mixed > 0) & (entries > 1)), entries)
+        yield _answers(again, e[some & head & (e["mixed"] == 0)], n)
 
-    asked = base.select("key", "t").mapInPandas(cut, "bucket int, blob binary")
-    return windows.gathered(windows.dealt(asked).mapInPandas(meet, "bucket int, blob binary"), windows.SPAN)
+    return windows.gathered(windows.dealt(frames).mapInPandas(meet, "bucket int, blob binary"), windows.SPAN)
 
 
-def repeats(base: DataFrame) -> DataFrame:
-    """Rows (key, found): intervals of bytes that are covered by a repeated window."""
+def dictionary(base: DataFrame) -> DataFrame:
+    """The phrases of all texts, met by trigger."""
     n = common.parts(base.sparkSession)
-    parsed = common.written(dictionary(base), "phrases")
-    asked = base.join(parsed.where("kind = 1").select("key", F.col("blob").alias("ask")), "key", "left")
 
-    def compare(frames):
+    def cut(frames):
+        for f in frames:
+            raw, key = kernels.utf8(f["t"]), f["key"].to_numpy(np.int64)
+            for a, b in kernels.batches(raw):
+                m, phrase, of, start, size, inner = Parse(kernels.Bytes(raw[a:b])).phrases()
+                yield from _classes(m, phrase, key[a:b][of], start, size, inner, n)
+
+    return _met(base.select("key", "t").mapInPandas(cut, "bucket int, blob binary"))
+
+
+def _asked(base: DataFrame, answers: DataFrame, work) -> DataFrame:
+    """Frames of work(texts, keys, texts of windows, first windows, numbers) for the rows that have windows to compare."""
+    rows = base.join(answers.where("kind = 1").select("key", F.col("blob").alias("ask")), "key", "left").select("id", "key", "t", "ask")
+
+    def run(frames):
         for f in frames:
             f = f[f["ask"].notna()]
-            if not len(f):
-                continue
             raw, key = kernels.utf8(f["t"]), f["key"].to_numpy(np.int64)
             for a, b in kernels.batches(raw):
-                buf = kernels.Bytes(raw[a:b])
                 got = [windows.unpack(x) for x in f["ask"].iloc[a:b]]
                 of = np.repeat(np.arange(b - a), [len(g[0]) for g in got])
                 start = np.concatenate([g[0] for g in got])
-                size = np.concatenate([g[1] for g in got]) - start
-                pos, of = kernels.ranges(start, size), np.repeat(of, size)
-                at = buf.at[:-1][of] + pos
-                fp = kernels.spans(kernels.prefix_sums(buf.codes()), at, at + WIDTH)
-                yield from windows.sent(windows.entries(fp, np.ones(len(fp), np.int64), key[a:b][of], pos), "twice", WIDTH, n)
-
-    frames = asked.select("key", "t", "ask").mapInPandas(compare, "bucket int, blob binary")
-    by_window = windows.gathered(windows.resolve(frames, "twice", WIDTH), windows.SPAN).select("key", "blob")
-    return by_window.unionByName(parsed.where("kind = 0").select("key", "blob")).groupBy("key").agg(F.collect_list("blob").alias("found"))
+                yield from work(kernels.Bytes(raw[a:b]), key[a:b], of, start, np.concatenate([g[1] for g in got]) - start)
+
+    return rows.mapInPandas(run, "bucket int, blob binary")
+
+
+def repeats(base: DataFrame) -> DataFrame:
+    """Rows (key, found): intervals of bytes that are covered by a repeated window."""
+    n = common.parts(base.sparkSession)
+
+    def pieces(b, key, of, start, size):
+        core, whole, text, first, many = Parse(b).pieces(of, start, size)
+        return _classes(core, whole, key[text], first, many, np.zeros(len(core), np.int32), n)
+
+    def single(b, key, of, start, size):
+        pos, of = kernels.ranges(start, size), np.repeat(of, size)
+        at = b.at[:-1][of] + pos
+        fp = kernels.spans(kernels.prefix_sums(b.codes()), at, at + WIDTH)
+        return windows.sent(windows.entries(fp, np.ones(len(fp), np.int64), key[of], pos), "twice", WIDTH, n)
+
+    by_phrase = common.written(dictionary(base), "phrases")
+    by_piece = _met(_asked(base, by_phrase, pieces))
+    by_window = windows.gathered(windows.resolve(_asked(base, by_piece, single), "twice", WIDTH), windows.SPAN)
+    known = [d.where("kind = 0").select("key", "blob") for d in (by_phrase, by_piece, by_window)]
+    return known[0].unionByName(known[1]).unionByName(known[2]).groupBy("key").agg(F.collect_list("blob").alias("found"))
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
