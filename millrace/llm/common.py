@@ -152,29 +152,31 @@ def local_stars(frames):
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long) as (id, component), component the smallest id.
 
-    Large-star and small-star rounds until nothing changes. Each task first replaces its edges by stars, so
-    a hub's neighbours are halved or better before any shuffle. Large-star sends a vertex only its smaller
-    neighbour; both are min-aggregations that combine map-side, followed by a join that AQE may split.
+    Each task first replaces its edges by stars. Then rounds of parent proposals until nothing changes: a
+    vertex takes its smallest proposal, and its other parents become that one's children. A round is a
+    min-aggregation that combines map-side, a join by the child, and a distinct.
     Vertices without edges are not returned. Null edges and self-edges are ignored.
     """
-    spark = edges.sparkSession
-    tidy = lambda d: d.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
-    stars = lambda d: d.mapInPandas(local_stars, "a long, b long")
-    now = written(stars(tidy(edges)), "edges")
+    tidy = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+    now = written(tidy.mapInPandas(local_stars, "a long, b long").distinct(), "edges")
+    mark = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    seen = mark(now)
     for _ in range(max_rounds):
-        # Each edge (a < b) proposes a as b's parent; every vertex takes the smallest proposal m(b).
+        if not seen["n"]:
+            break
+        # Each edge (a < b) proposes a as b's parent; every vertex takes the smallest proposal m.
         low = now.groupBy("b").agg(F.min("a").alias("m"))
-        # b keeps (m, b), and a joins m through (m, a): connectivity stays, parents fall.
-        nxt = now.join(low, "b").select(F.col("m"), F.col("a"), F.col("b"))
-        nxt = nxt.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        nxt = written(stars(nxt), "edges")
-        # A forest of stars: no vertex has two parents and no parent has a parent.
-        bad = nxt.groupBy("b").agg(F.countDistinct("a").alias("n")).where("n > 1").limit(1).count()
-        bad = bad or nxt.select(F.col("a").alias("b")).join(nxt.select("b"), "b", "left_semi").limit(1).count()
+        # b keeps (m, b), and a joins m through (m, a): connectivity stays, parents fall. Then every edge
+        # takes its parent's parent, so that chains halve.
+        both = now.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+        up = low.select(F.col("b").alias("a"), F.col("m").alias("up"))
+        nxt = both.select("e.a", "e.b").where("a <> b").distinct().join(up, "a", "left").select(F.coalesce("up", "a").alias("a"), "b").distinct()
+        nxt = written(nxt, "edges")
         drop_written(now)
-        now = nxt
-        if not bad:
+        now, last, seen = nxt, seen, mark(nxt)
+        if last == seen:  # only a forest of stars stays as it is
             break
     else:
         raise RuntimeError("components did not settle")
-    return spark.createDataFrame([], "id long, component long") if now.isEmpty() else now.distinct().select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    out = now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    return written(out, "components")

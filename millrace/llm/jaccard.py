@@ -8,9 +8,10 @@ shares one passes the length filter and the positional filter, meets once as a p
 (bounds by parts of the hash range), and is verified on the whole sets.
 
 Only links that matter for connectivity are verified: a group that shares a prefix shingle proposes its pairs
-if it is small, else pairs with its hub and between neighbours in length. What is then still in different
-components is proposed pair by pair, so no link between components is lost. Verification streams the sets of
-a hub's partners past the hub's set, dealt over SALTS shares, so a hub of any degree is split.
+if it is small, else pairs with its hub and between neighbours in length, then a few pairs between the
+components that came of it. What is then still in different components is proposed pair by pair, so no link
+between components is lost. The sets of candidates are written once to the shared folder; verification reads
+a hub's set and its partners' by range, dealt over SALTS shares, so a hub of any degree is split.
 
 Null and empty texts have 0 shingles and link with nothing. Repeated rows are copies of each other. A null id
 is never a component's id unless all its documents' ids are null. Only the two named columns are read.
@@ -19,14 +20,16 @@ is never a component's id unless all its documents' ids are null. Only the two n
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, kernels
+from millrace.llm import common, kernels, storage
 
 SHINGLE = 5
 NUM, DEN = 4, 5
@@ -77,8 +80,11 @@ def overlap_needed(m, n):
 
 
 def may_link(m, i, n, j):
-    """Length and positional filter for a shingle at place i of m and j of n."""
-    return (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)) & (1 + np.minimum(m - i, n - j) - 1 >= overlap_needed(m, n) - np.minimum(i, j))
+    """Length and positional filter for sets of m and n whose first common shingle has places i and j.
+
+    What links passes at its first common shingle; at a later one it may be dropped.
+    """
+    return (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)) & (np.minimum(m - i, n - j) >= overlap_needed(m, n))
 
 
 def propose(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,39 +170,100 @@ def _sketch(base: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("part < 0").select("id", "key", "n", "cls"), total.reshape(-1)
 
 
-def _verified(base: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) that link. pairs: a written table of distinct pairs of classes, reps: (cls, key)."""
-    n = common.parts(base.sparkSession)
-    salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    roles = salted.select(F.col("b").alias("cls"), "a", "s", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("cls"), "a", "s", F.lit(0).alias("role")).distinct())
-    wanted = roles.groupBy("cls").agg(F.collect_list(F.struct("a", "s", "role")).alias("to")).join(reps, "cls").select("key", "cls", "to")
+def _stored(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Write the sets of the wanted classes (cls, key) to the shared folder; rows (cls, file, offset, size)."""
+    folder = common.fresh(base.sparkSession, "jaccard-sets")
     rows = base.select("key", "t").join(wanted, "key")
 
-    def send(frames):
+    def run(frames):
+        out = None
         for f in frames:
-            raw = kernels.utf8(f["t"])
+            raw, cls, got = kernels.utf8(f["t"]), f["cls"].to_numpy(), []
             for x, y in kernels.batches(raw):
                 h, at = shingle_sets(raw[x:y], width)
-                out = []
                 for i in range(y - x):
+                    out = out or storage.Writer(folder, uuid.uuid4().hex)
                     blob = h[at[i] : at[i + 1]].tobytes()
-                    out += [(t["a"], t["s"], t["role"], f["cls"].iat[x + i], blob) for t in f["to"].iat[x + i]]
-                yield pd.DataFrame(out, columns=["a", "s", "role", "b", "blob"])
+                    got.append((cls[x + i], out.uri, out.write(blob), len(blob)))
+            yield pd.DataFrame(got, columns=["cls", "file", "offset", "size"])
+        if out:
+            out.close()
+
+    sets = rows.mapInPandas(run, "cls long, file string, offset long, size long")
+    return common.written(common.written(sets, "jaccard-stored").dropDuplicates(["cls"]), "jaccard-sets-index")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. A hub's set is read once for each share of its partners."""
+    n = common.parts(pairs.sparkSession)
+    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("file", "offset", "size")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
 
     def verify(frames):
-        hub, own = None, None
+        reader, hub, own = storage.Reader(64), None, None
+        get = lambda *where: np.frombuffer(reader.read(*where), dtype=U)
         for f in frames:
             good = []
-            for a, s, role, b, blob in f[["a", "s", "role", "b", "blob"]].itertuples(index=False):
-                x = np.frombuffer(blob, dtype=U)
-                if role == 0:
-                    hub, own = (a, s), x
-                elif hub == (a, s) and linked(own, x):
+            for a, b, af, ao, az, bf, bo, bz in f[["a", "b", "a_file", "a_offset", "a_size", "b_file", "b_offset", "b_size"]].itertuples(index=False):
+                need = overlap_needed(az // 8, bz // 8)
+                if min(az, bz) < 8 * need:
+                    continue
+                if hub != a:
+                    hub, own = a, get(af, ao, az)
+                if linked(own, get(bf, bo, bz)):
                     good.append((a, b))
             yield pd.DataFrame(good, columns=["a", "b"], dtype=np.int64)
-
-    sent = rows.mapInPandas(send, "a long, s int, role int, b long, blob binary").repartition(n, "a", "s").sortWithinPartitions("a", "s", "role")
-    return sent.mapInPandas(verify, "a long, b long")
+        reader.close()
+
+    return both.repartition(n, "a", "s").sortWithinPartitions("a").mapInPandas(verify, "a long, b long")
+
+
+def _groups(frames):
+    """Large groups by token: (entries sorted by token and hash of the class, components, bounds of the groups)."""
+    got = list(frames)
+    if not got:
+        return None
+    f = pd.concat(got, ignore_index=True)
+    e = np.empty(len(f), dtype=ENTRY)
+    e["token"], e["cls"], e["n"], e["pos"] = f["token"].to_numpy(np.int64).view(U), f["cls"], f["n"], f["pos"]
+    order = np.lexsort((kernels.mix(e["cls"].view(U)), e["token"]))
+    return e[order], f["comp"].to_numpy(np.int64)[order], kernels.runs(e["token"][order])
+
+
+def _pairs(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    x, y = e[i], e[j]
+    ok = may_link(x["n"].astype(np.int64), x["pos"].astype(np.int64), y["n"].astype(np.int64), y["pos"].astype(np.int64))
+    x, y = x["cls"][ok], y["cls"][ok]
+    return pd.DataFrame(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0), columns=["a", "b"])
+
+
+def some_across(frames, distances: tuple[int, ...]):
+    """Pairs of different components at a few distances in the order of the classes' hashes, the same for all tokens."""
+    if (got := _groups(frames)) is None:
+        return
+    e, comp, first = got
+    size = np.diff(first, append=len(e))
+    base, many = np.repeat(first, size), np.repeat(size, size)
+    i = np.arange(len(e))
+    for d in distances:
+        j = base + (i - base + d) % many
+        use = (comp[i] != comp[j]) & (d < many)
+        yield _pairs(e, i[use], j[use])
+
+
+def all_across(frames):
+    """All pairs of different components."""
+    if (got := _groups(frames)) is None:
+        return
+    e, comp, first = got
+    for a, b in zip(first, kernels.stops(first, len(e)), strict=True):
+        c = comp[a:b]
+        if (c == c[0]).all():
+            continue
+        for k in range(b - a - 1):
+            j = np.flatnonzero(c[k + 1 :] != c[k]) + a + k + 1
+            if len(j):
+                yield _pairs(e, np.full(len(j), a + k), j)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -239,36 +306,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = common.written(met, "jaccard-met")
     reps = common.written(members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("first"), F.min("key").alias("key")), "jaccard-classes")
     pairs = common.written(met.where("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
-    edges = common.written(_verified(base, reps.select("cls", "key"), pairs, width), "jaccard-links")
-    comps = common.written(common.components(edges), "jaccard-components")
     big = met.where("kind = 1").select(F.col("a").alias("cls"), "token", "n", "pos")
-    if not big.isEmpty():
-
-        def across(frames):
-            got = list(frames)
-            if not got:
-                return
-            f = pd.concat(got, ignore_index=True)
-            token, comp, cls = (f[c].to_numpy(np.int64) for c in ("token", "comp", "cls"))
-            size, pos = f["n"].to_numpy(np.int64), f["pos"].to_numpy(np.int64)
-            order = np.lexsort((comp, token))
-            cut = kernels.runs(token[order])
-            for a, b in zip(cut, kernels.stops(cut, len(f)), strict=True):
-                g = order[a:b]
-                if comp[g[0]] == comp[g[-1]]:
-                    continue
-                for k, i in enumerate(g[:-1]):
-                    j = g[k + 1 :]
-                    j = j[(comp[j] != comp[i]) & may_link(size[i], pos[i], size[j], pos[j])]
-                    if len(j):
-                        yield pd.DataFrame({"a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
-
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(big.select("cls")).distinct()
+    sets = _stored(base, common.written(used.join(reps, "cls").select("key", "cls"), "jaccard-wanted"), width)
+    edges = common.written(_verified(pairs, sets), "jaccard-links")
+    comps = common.components(edges)
+    large = not big.isEmpty()
+    for search in (partial(some_across, distances=(1, 2, 4, 8, 16, 32)), partial(some_across, distances=(3, 5, 11, 23, 47, 95)), all_across) if large else ():
+        # What is still apart and may link: first a few pairs of each group, in the end every pair.
         labelled = big.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "token", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-        more = labelled.repartition(n_parts, "token").mapInPandas(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = common.written(more, "jaccard-more-pairs")
-        if not more.isEmpty():
-            edges = edges.unionByName(_verified(base, reps.select("cls", "key"), more, width))
-            comps = common.written(common.components(edges), "jaccard-components")
+        more = labelled.repartition(n_parts, "token").mapInPandas(search, "a long, b long").distinct()
+        more = common.written(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more-pairs")
+        found = common.written(_verified(more, sets), "jaccard-links")
+        if found.isEmpty():
+            continue
+        pairs, edges = pairs.unionByName(more), edges.unionByName(found)
+        comps = common.components(edges)
     info = reps.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("comp"))
     lowest = info.groupBy("comp").agg(F.min("first").alias("component_id"))
     info = common.written(info.join(lowest, "comp").select("cls", "component_id"), "jaccard-info")
