@@ -173,7 +173,7 @@ def _sketch(base: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 def _stored(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Write the sets of the wanted classes (cls, key) to the shared folder; rows (cls, file, offset, size)."""
     folder = common.fresh(base.sparkSession, "jaccard-sets")
-    rows = base.select("key", "t").join(wanted, "key")
+    rows = base.select("key", "t").join(wanted.hint("merge"), "key")  # alike at every size
 
     def run(frames):
         out = None
