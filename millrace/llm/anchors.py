@@ -34,7 +34,7 @@ def _block_keys(w: kernels.Words) -> np.ndarray:
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(windows.NO_ID))).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
 
 
 def _hits(base: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def repeats(base: DataFrame) -> DataFrame:
             if not len(f):
                 continue
             raw, key = kernels.utf8(f["t"]), f["key"].to_numpy(np.int64)
-            ident = f["id"].fillna(windows.NO_ID).to_numpy(np.int64) if f["id"].isna().any() else f["id"].to_numpy(np.int64)
+            ident = f["id"].to_numpy(np.int64)
             for a, b in kernels.batches(raw):
                 w = kernels.Words(raw[a:b])
                 at, of = w.whole(BLOCK)
@@ -151,7 +151,7 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield g
 
     out = rows.mapInPandas(run, "id long, n_words long, n_removed long, kept string, spans array<int>")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.nullif("id", F.lit(int(windows.NO_ID)))).withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -148,12 +148,12 @@ def _sketch(base: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             counts += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             n = np.diff(at)
             cls = [class_of(h[x:y]) if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pd.DataFrame({"id": f["id"].to_numpy(), "key": f["key"].to_numpy(), "n": n.astype(np.int64), "cls": pd.array(cls, dtype="Int64"), "part": np.int32(-1), "blob": None})
+            yield pd.DataFrame({"id": common.texts(f["id"]), "key": f["key"].to_numpy(), "n": n.astype(np.int64), "cls": pd.array(cls, dtype="Int64"), "part": np.int32(-1), "blob": None})
         parts = counts.reshape(RANGES, -1)
         some = [r for r in range(RANGES) if parts[r].any()]
         yield pd.DataFrame({"id": None, "key": 0, "n": 0, "cls": pd.array([None] * len(some), dtype="Int64"), "part": np.array(some, dtype=np.int32), "blob": [zlib.compress(parts[r].tobytes(), 1) for r in some]})
 
-    both = common.written(base.mapInPandas(run, f"id {base.schema['id'].dataType.simpleString()}, key long, n long, cls long, part int, blob binary"), "jaccard-members")
+    both = common.written(base.mapInPandas(run, "id string, key long, n long, cls long, part int, blob binary"), "jaccard-members")
 
     def add(frames):
         sums: dict[int, np.ndarray] = {}
@@ -270,8 +270,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Rows (id, n_shingles, component_id), one for each document."""
     spark = docs.sparkSession
     n_parts = common.parts(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    base = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
     members, sketch = _sketch(base, width)
+    members = members.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
     counts = spark.sparkContext.broadcast(sketch)
 
     def prefixes(frames):

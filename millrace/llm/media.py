@@ -99,8 +99,7 @@ class _Tar:
 
 
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards; rows (k, n_bytes, digest, shard, offset, length), the index, itself written once."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """Write the shards; rows (k, n_bytes, digest, shard, offset, length), k the id as text: the index, itself written once."""
 
     def run(frames):
         tar = _Tar(folder)
@@ -113,8 +112,8 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame(rows, columns=["k", "n_bytes", "digest", "shard", "offset", "length"])
         tar.close()
 
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return common.written(rows.mapInPandas(run, f"k {kind}, n_bytes long, digest string, shard string, offset long, length long"), "media-index")
+    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
+    return common.written(rows.mapInPandas(run, "k string, n_bytes long, digest string, shard string, offset long, length long"), "media-index")
 
 
 def metadata(index: DataFrame) -> DataFrame:
@@ -149,10 +148,9 @@ def read_back(index: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["k", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
         reader.close()
 
-    kind = index.schema["k"].dataType.simpleString()
-    return index.mapInPandas(run, f"k {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return index.mapInPandas(run, "k string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = store(common.table(spark, sf_dir, "documents"), common.fresh(spark, "media"))
-    return read_back(metadata(index)).withColumnRenamed("k", "doc_id")
+    return read_back(metadata(index)).select(F.col("k").cast("long").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

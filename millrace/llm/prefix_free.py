@@ -91,7 +91,7 @@ class Parse:
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
 
 
 def _classes(m: np.ndarray, phrase: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, inner: np.ndarray, n: int):
@@ -218,10 +218,10 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 edge = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(edge[0::2], edge[1::2], strict=True))
                 out.append((len(raw), len(raw) - len(kept), len(start), kept, edge[1:-1]))
-            yield pd.DataFrame({"id": f["id"], **{c: [o[i] for o in out] for i, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept", "spans"))}})
+            yield pd.DataFrame({"id": common.texts(f["id"]), **{c: [o[i] for o in out] for i, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept", "spans"))}})
 
-    out = rows.mapInPandas(run, f"id {base.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(run, "id string, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>")
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def op3_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:

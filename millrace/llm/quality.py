@@ -2,8 +2,8 @@
 
 A rating is the number of the two judgements in `labels` that a document passes: quality, and not toxic
 (grades 0, 1, 2). The model is P(grade <= k) = sigmoid(threshold[k] - score) with ordered thresholds and one
-score, a sum of weights of hashed text features shared by all grades: words present, and measures of the
-text's form, each cut into steps and hashed like a word. It gives each document its expected grade and the
+score, a sum of weights of hashed text features shared by all grades: words present, beginnings of words with
+how often they occur, and measures of the text's form, each cut into steps and hashed like a word. It gives each document its expected grade and the
 probability that its grade is at least KEEP_GRADE.
 
 Fitting uses at most SAMPLE labelled rows, those with the smallest hashes of their ids; this bound is the
@@ -23,8 +23,12 @@ from millrace.llm import common, kernels
 
 SAMPLE = 6000
 BITS = 18
+#: Feature = level and hash. Level 0: words and steps; others: a beginning of PREFIXES bytes occurs so often.
+LEVELS = (1, 2, 4)
+PREFIXES = (4, 5, 6, 7, 8)
+SIZE = (1 + len(LEVELS)) << BITS
 #: Features with weights: those whose presence differs most between grades, and seen in at least MIN_DOCS rows.
-FEATURES = 4096
+FEATURES = 6000
 MIN_DOCS = 6
 KEEP_GRADE = 2
 TAIL = 0.5
@@ -43,14 +47,15 @@ _POINT[list(b".,;:?-'\"()")] = True
 STEPS = 24
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs of one batch, each once."""
+def features(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs of one batch, each once. wanted: hashes that matter on any level, to leave out others."""
     b = kernels.Bytes(texts)
     n = len(texts)
     letter = _LETTER[b.data]
     edge = np.flatnonzero(np.diff(letter.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, end = edge[0::2], edge[1::2]
-    h = kernels.spans(kernels.prefix_sums(kernels.BYTE_CODE[kernels.LOWER[b.data]]), start, end)
+    sums = kernels.prefix_sums(kernels.BYTE_CODE[kernels.LOWER[b.data]])
+    h = kernels.spans(sums, start, end)
     of = np.searchsorted(b.at, start, side="right") - 1
     words = np.bincount(of, minlength=n)
     size = np.maximum(np.diff(b.at) - 1, 1)
@@ -62,33 +67,52 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     letters = np.maximum(share(letter), 1e-9)
     shares = [share(_UPPER[b.data]) / letters, share(_SYMBOL[b.data]), share(_DIGIT[b.data]), share(_POINT[b.data]), share(b.data == 10), per_word(again), np.bincount(kinds, minlength=n) / np.maximum(words, 1), letters]
     sizes = [np.log2(words + 1) / 20, per_word((end - start).astype(float)) / 20]
-    text, feature = [of], [(h >> U(64 - BITS)).astype(np.int64)]
+    short = lambda x: (x >> U(64 - BITS)).astype(np.int64)
+    text, feature = [of], [short(h)]
+    begun, begins = [], []
+    for k in PREFIXES:
+        long = np.flatnonzero(end - start > k)
+        g = short(kernels.mix(kernels.spans(sums, start[long], start[long] + k) + U(k)))
+        if wanted is not None:
+            keep = wanted[g]
+            long, g = long[keep], g[keep]
+        begun.append(of[long])
+        begins.append(g)
+    pair, times = np.unique(np.concatenate(begun) << BITS | np.concatenate(begins), return_counts=True)
+    for level, least in enumerate(LEVELS, 1):
+        p = pair[times >= least]
+        text.append(p >> BITS)
+        feature.append((p & ((1 << BITS) - 1)) + (level << BITS))
     has = np.flatnonzero(words > 0)
     for k, x in enumerate([*(np.sqrt(np.clip(s, 0, 1)) for s in shares), *(np.clip(s, 0, 1) for s in sizes)]):
         step = np.minimum((x * STEPS).astype(np.int64), STEPS - 1)[has]
         for near in (0, 1):  # two overlapping grids of steps
             code = kernels.mix((np.int64(k * 1000 + 500 * near) + (step + near) // (1 + near)).astype(U) + U(1 << 40))
             text.append(has)
-            feature.append((code >> U(64 - BITS)).astype(np.int64))
-    pair = np.unique(np.concatenate(text) << BITS | np.concatenate(feature))
-    return pair >> BITS, pair & ((1 << BITS) - 1)
-
-
-def fit(rows: list[np.ndarray], grade: np.ndarray, top: int, rounds: int = 250, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (2 ** BITS) and thresholds (top) for grades 0 .. top."""
-    w = np.zeros(1 << BITS)
+            feature.append(short(code))
+    text, feature = np.concatenate(text), np.concatenate(feature)
+    if wanted is not None:
+        keep = wanted[feature & ((1 << BITS) - 1)]
+        text, feature = text[keep], feature[keep]
+    pair = np.unique(text * SIZE + feature)
+    return pair // SIZE, pair % SIZE
+
+
+def fit(rows: list[np.ndarray], grade: np.ndarray, top: int, rounds: int = 250, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (SIZE) and thresholds (top) for grades 0 .. top."""
+    w = np.zeros(SIZE)
     if not len(grade) or len(np.unique(grade)) < 2:
         return w, np.full(top, -np.inf)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     x = np.concatenate(rows)
-    df = np.bincount(x, minlength=1 << BITS)
+    df = np.bincount(x, minlength=SIZE)
     mean = grade.mean()
-    pull = np.bincount(x, weights=(grade - mean)[of], minlength=1 << BITS)
+    pull = np.bincount(x, weights=(grade - mean)[of], minlength=SIZE)
     z = np.abs(pull) / np.sqrt(np.maximum(df * (1 - df / len(grade)), 1e-9) * max(grade.var(), 1e-9))
     z[df < min(MIN_DOCS, max(1, len(grade) // 20))] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     chosen = chosen[z[chosen] > 0]
-    place = np.full(1 << BITS, -1)
+    place = np.full(SIZE, -1)
     place[chosen] = np.arange(len(chosen))
     use = place[x] >= 0
     of, x = of[use], place[x[use]]
@@ -150,12 +174,13 @@ def grade_probabilities(score: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def scorer(weights: np.ndarray, cut: np.ndarray):
     """Column function text -> struct<expected_grade, tail_probability>."""
     nonzero = weights != 0
+    wanted = nonzero.reshape(-1, 1 << BITS).any(axis=0)
 
     @F.pandas_udf("expected_grade double, tail_probability double")
     def score(text: pd.Series) -> pd.DataFrame:
         raw, out = kernels.utf8(text), []
         for a, b in kernels.batches(raw):
-            of, feature = features(raw[a:b])
+            of, feature = features(raw[a:b], wanted)
             use = nonzero[feature]
             out.append(np.bincount(of[use], weights=weights[feature[use]], minlength=b - a))
         tail = grade_probabilities(np.concatenate(out) if out else np.zeros(0), cut)

@@ -177,11 +177,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n: list[int] = []
             for a, b in kernels.batches(raw):
                 n += m.counts(texts[a:b])
-            yield pd.DataFrame({"k": f["k"], "n_bytes": np.array([len(r) for r in raw], dtype=np.int64), "n_tokens": np.array(n, dtype=np.int64)})
+            yield pd.DataFrame({"k": common.texts(f["k"]), "n_bytes": np.array([len(r) for r in raw], dtype=np.int64), "n_tokens": np.array(n, dtype=np.int64)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"k {kind}, n_bytes long, n_tokens long")
-    return out.select(F.col("k").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
+    out = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "k string, n_bytes long, n_tokens long")
+    return out.select(F.col("k").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
