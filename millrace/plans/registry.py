@@ -23,3 +23,8 @@ def query(sql: str | None = None, name: str | None = None):
         return f
 
     return add
+
+
+from millrace.plans import benchmarks, core, functions  # noqa: E402  they register their queries here
+
+__all__ = ["ORACLE_SQL", "QUERIES", "benchmarks", "core", "functions", "query"]
