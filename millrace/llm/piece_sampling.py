@@ -28,11 +28,16 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 OFFSET = 10.0
 UNIT = re.compile(f" *[^ \n{MARK}]+| +|\n|{MARK}")
+#: Edges that are kept; when a batch's new ones do not fit, all go but those of the batch.
+ROOM = 4_000_000
 U = np.uint64
 
 
 class Lattices:
-    """Lattices of the distinct units of a batch; `share` is node + cumulated probability, sorted."""
+    """Lattices of units, built once and kept for later batches while there is room.
+
+    A node's edges stand together; `share` is their cumulated probability, 1 for the last.
+    """
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -67,12 +72,48 @@ class Lattices:
                 self.tables[w] = (h[o], ids[o], np.array([odds[i] for i in ids[o].tolist()]))
                 self.filter[(h >> U(42)).astype(np.int64)] = True
 
+        self.clear(ROOM)
+
+    def clear(self, room: int) -> None:
+        self.unit: dict[str, int] = {}  # number of a unit
+        self.share, self.back, self.edge = np.empty(room), np.empty(room, np.int32), np.empty(room, np.int32)
+        self.start, self.end, self.first = np.empty(room // 4, np.int32), np.empty(room // 4, np.int32), np.empty(room, np.int32)
+        self.edges = self.nodes = 0
+
+    def add(self, units: list[str], room: int = ROOM) -> None:
+        base, begin, share, back, edge = self.build(units)
+        n, k = len(self.unit), len(units)
+        if self.edges + len(share) > len(self.share) or self.nodes + len(begin) > len(self.first) or n + k > len(self.start):
+            if n:
+                raise MemoryError
+            self.clear(max(room, 2 * len(share), 2 * len(begin), 5 * k))
+        a, b = self.edges, self.edges + len(share)
+        self.share[a:b], self.back[a:b], self.edge[a:b] = share, back + self.nodes, edge
+        self.first[self.nodes : self.nodes + len(begin)] = begin + a
+        size = np.fromiter(map(len, units), dtype=np.int64, count=k)
+        self.start[n : n + k], self.end[n : n + k] = base + self.nodes, base + self.nodes + size
+        self.unit.update(zip(units, range(n, n + k), strict=True))
+        self.edges, self.nodes = b, self.nodes + int(size.sum()) + k
+
+    def numbers(self, cut: list[list[str]], total: int) -> np.ndarray:
+        """Number of each unit of a batch; what is not known yet is built."""
+        every = set().union(*cut)
+        new = list(every.difference(self.unit))
+        if new:
+            try:
+                self.add(new)
+            except MemoryError:
+                self.clear(ROOM)
+                self.add(list(every))
+        get = self.unit.__getitem__
+        return np.fromiter((get(s) for c in cut for s in c), dtype=np.int64, count=total)
+
     @staticmethod
     def codes(s: str) -> np.ndarray:
         return kernels.mix(np.frombuffer(s.encode("utf-32-le"), dtype="<u4").astype(U) + U(1))
 
     def build(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """Nodes (first of each unit), share, back and edge of the units' lattices.
+        """First node of each unit, first edge of each node, share, back and edge of the units' lattices.
 
         Edge e >= 0 is a piece, e < 0 spells character -1 - e in bytes.
         """
@@ -104,7 +145,7 @@ class Lattices:
         edge.append((-1 - char[at].astype(np.int64)).astype(np.int32))
         weight.append(np.full(len(at), self.least))
         src, dst, edge, weight = map(np.concatenate, (src, dst, edge, weight))
-        order = np.lexsort((src, dst))
+        order = np.argsort(dst << 5 | dst - src, kind="stable")  # by node, then by length; each length came sorted
         src, dst, edge, weight = src[order], dst[order], edge[order], weight[order]
         base = np.cumsum(size) - size + np.arange(len(units))  # a unit of n characters has n + 1 nodes
         total = int(size.sum()) + len(units)
@@ -112,7 +153,7 @@ class Lattices:
         forward = np.zeros(total)
         forward[base] = 1.0
         level = depth[dst]
-        by = np.argsort(level, kind="stable")
+        by = np.argsort(level.astype(np.int16) if total < 32768 or size.max(initial=0) < 32768 else level, kind="stable")
         cut = np.searchsorted(level[by], np.arange(1, int(size.max(initial=0)) + 2))
         owner = np.repeat(np.arange(len(units)), size + 1)
         for d in range(1, len(cut)):
@@ -129,9 +170,11 @@ class Lattices:
         first = kernels.runs(dst)
         counts = np.diff(first, append=len(dst))
         p = part / np.repeat(np.add.reduceat(part, first), counts) if len(part) else part
-        share = dst + np.clip(np.cumsum(p) - np.repeat(np.arange(len(first)), counts), 0.0, 1.0)
-        share[first + counts - 1] = dst[first] + 1.0
-        return base, share, src, edge
+        share = np.clip(np.cumsum(p) - np.repeat(np.arange(len(first)), counts), 0.0, 1.0)
+        share[first + counts - 1] = 1.0
+        begin = np.zeros(total, dtype=np.int64)
+        begin[dst[first]] = first
+        return base, begin, share, src, edge
 
     def encode(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -140,19 +183,18 @@ class Lattices:
         total = int(per.sum())
         if not total:
             return np.zeros(0, np.int32), per
-        number = {s: i for i, s in enumerate(set().union(*cut))}
-        units = list(number)
-        base, share, back, edge = self.build(units)
-        which = np.fromiter((number[s] for c in cut for s in c), dtype=np.int64, count=total)
-        start = base[which]
-        v = start + np.fromiter(map(len, units), dtype=np.int64, count=len(units))[which]
+        which = self.numbers(cut, total)
+        share, back, edge = self.share, self.back, self.edge
+        start, v = self.start[which], self.end[which]
         key = kernels.mix(np.repeat(seeds, per) + (np.arange(total) - np.repeat(np.cumsum(per) - per, per)).astype(U) * U(kernels.BASE))
         live, steps, taken, step = np.arange(total), np.zeros(total, np.int64), [], 0
         while len(live):
             u = (kernels.mix(key[live] + U((step + 1) * 0xD1B54A32D192ED03 % 2**64)) >> U(11)).astype(np.float64) * 2.0**-53
-            at = v[live]
-            e = np.searchsorted(share, at + u, side="right")
-            e = np.where(share[np.minimum(e, len(share) - 1)] > at + 1.0, e - 1, e)  # rounding at a node's end
+            e = self.first[v[live]]
+            on = np.flatnonzero(share[e] <= u)
+            while len(on):
+                e[on] += 1
+                on = on[share[e[on]] <= u[on]]
             taken.append((live, edge[e]))
             v[live] = back[e]
             steps[live] += 1
@@ -197,7 +239,7 @@ def encode_sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = [t if t is not None else "" for t in f.column(2).to_pylist()]
             key = f.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
             seeds = kernels.mix(key ^ U(seed * 0x9E3779B97F4A7C15 % 2**64))
-            for a, b in kernels.batches([t.encode() for t in texts], 4 * kernels.BATCH_BYTES):
+            for a, b in kernels.batches([t.encode() for t in texts]):
                 ids, n = m.encode(texts[a:b], seeds[a:b])
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([f.column(0).slice(a, b - a), f.column(2).slice(a, b - a), ids, pa.array(n)], names=["k", "t", "ids", "n_pieces"])
