@@ -29,14 +29,14 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 #: Words whose ids are kept; the table is emptied when full. It changes speed only.
-CACHE = 1_200_000
+CACHE = 2_500_000
 
 
 #: The tokenizer's own cut into pre-tokens, for texts of Latin-1 characters, where lower case and composition
 #: are plain: letters, single digits, and runs of what is neither these nor blank.
 _LETTERS, _DIGITS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\t-\r \x85\xa0{_LETTERS}{_DIGITS}]+")
-OTHER = re.compile("[^\x00-\xff]|<\\|")
+OTHER = re.compile("[^\x00-\xff]")
 
 
 class WordIds:
@@ -52,7 +52,7 @@ class WordIds:
         self.model, self.known = Tokenizer.from_file(path), {}
 
     def cut(self, t: str) -> list[str]:
-        if OTHER.search(t):
+        if not t.isascii() and OTHER.search(t) or "<|" in t:
             return [w for w in t.replace("\n", " ").split(" ") if w]
         return PRE.findall(t.lower())
 
