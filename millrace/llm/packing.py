@@ -13,6 +13,7 @@ columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from bisect import bisect_left, insort
@@ -61,12 +62,16 @@ class WordIds:
         words = list(map(self.cut, texts))
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
+        get = self.known.get
+        ids = [list(map(get, w)) for w in words]
+        gaps = [i for i, x in enumerate(ids) if None in x]
+        new = list({w for i in gaps for w, x in zip(words[i], ids[i], strict=True) if x is None})
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
+        for i in gaps:
+            ids[i] = map(get, words[i])
+        out = list(map(b"".join, ids))
         for w in new:
             if len(w) > 64:
                 del self.known[w]
@@ -87,22 +92,31 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if model not in _models:
             _models[model] = WordIds(model)
-        m, seen = _models[model], np.zeros(capacity + 1, dtype=np.int64)
+        m, seen, done = _models[model], np.zeros(capacity + 1, dtype=np.int64), {}
         end = np.array([END], dtype="<u4").tobytes()
         for f in frames:
             texts = [t if t is not None else "" for t in f.column(1).to_pylist()]
-            for a, b in kernels.batches([t.encode() for t in texts]):
+            raw = [t.encode() for t in texts]
+            for a, b in kernels.batches(raw):
                 of, piece, start, length, check, ids = [], [], [], [], [], []
-                for i, x in enumerate(m.encode(texts[a:b]), a):
+                name = [hashlib.blake2b(x, digest_size=16).digest() for x in raw[a:b]]
+                if len(done) > 200_000:
+                    done.clear()
+                todo = [i for n, i in {n: i for i, n in enumerate(name, a)}.items() if n not in done]
+                for i, x in zip(todo, m.encode([texts[i] for i in todo]), strict=True):  # equal texts are encoded once
                     x += end
-                    for p, s in enumerate(range(0, len(x), 4 * capacity)):
-                        cut = x[s : s + 4 * capacity]
+                    cut = [x[s : s + 4 * capacity] for s in range(0, len(x), 4 * capacity)]
+                    done[name[i - a]] = [(len(c) // 4, kernels.crc(c), c if with_ids else None) for c in cut]
+                for i, n in enumerate(name, a):
+                    for p, (size, crc, cut) in enumerate(done[n]):
                         of.append(i)
                         piece.append(p)
-                        start.append(s // 4)
-                        length.append(len(cut) // 4)
-                        check.append(kernels.crc(cut))
+                        start.append(p * capacity)
+                        length.append(size)
+                        check.append(crc)
                         ids.append(cut)
+                if with_ids:
+                    done.clear()
                 rank = np.empty(len(length), dtype=np.int64)  # among the task's pieces of that length
                 for j, x in enumerate(length):
                     rank[j] = seen[x]
