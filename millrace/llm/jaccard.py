@@ -337,7 +337,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     comps = jaccard_components(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     firsts = common.written(comps.groupBy(F.col(id_col).alias("__first")).agg(F.count(F.lit(1)).alias("__n")), "jaccard-kept")
-    of = lambda which: docs.join(firsts.where(which), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
+    of = lambda which: docs.join(firsts.where(which).hint("merge"), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
     kept = of("__n = 1 OR __first IS NULL")
     again = "__n > 1 AND __first IS NOT NULL"  # rows that are repeated, if there are any
     return kept if firsts.where(again).isEmpty() else kept.unionByName(of(again).dropDuplicates([id_col]))
