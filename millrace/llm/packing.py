@@ -29,11 +29,11 @@ from millrace.llm import common, kernels
 MODEL = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
-#: Words whose ids are kept; the table is emptied when full. It changes speed only.
-CACHE = 2_500_000
+#: Words, and pre-tokens of words, whose ids are kept; a table is emptied when full. They change speed only.
+CACHE_WORDS, CACHE_PARTS = 1_500_000, 1_000_000
 
 
-#: The tokenizer's own cut into pre-tokens, for texts of Latin-1 characters, where lower case and composition
+#: The tokenizer's own cut into pre-tokens, for words of Latin-1 characters, where lower case and composition
 #: are plain: letters, single digits, and runs of what is neither these nor blank.
 _LETTERS, _DIGITS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\t-\r \x85\xa0{_LETTERS}{_DIGITS}]+")
@@ -41,40 +41,68 @@ OTHER = re.compile("[^\x00-\xff]")
 
 
 class WordIds:
-    """Ids of whole texts by the library, which encodes each distinct pre-token, or word, once.
+    """Ids of whole texts by the library, which encodes each distinct pre-token once.
 
-    No rule of the tokenizer reaches across a blank. Texts with characters beyond Latin-1, or with what may be
-    a special token, are cut at blanks only and go to the library word by word.
+    No rule of the tokenizer reaches across a blank, so a text is cut at blanks and each distinct word is looked
+    up; a word not met before is cut into pre-tokens. Words with characters beyond Latin-1, or with what may be
+    a special token, go to the library as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
-
-    def cut(self, t: str) -> list[str]:
-        if not t.isascii() and OTHER.search(t) or "<|" in t:
-            return [w for w in t.replace("\n", " ").split(" ") if w]
-        return PRE.findall(t.lower())
+        self.model, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True  # the last id of a pre-token
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: list[str]) -> None:
+        """Many pre-tokens go to the library in one text, as a call for each costs more than its ids."""
+        for a in range(0, len(parts), 200):
+            some = parts[a : a + 200]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            end = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(end) == len(some) and end[-1] == 4 * len(ids):
+                raw, end = ids.tobytes(), end.tolist()
+                self.parts.update(zip(some, (raw[i:j] for i, j in zip([0, *end], end, strict=False)), strict=True))
+            else:  # a model without word ends
+                self.parts.update(zip(some, self.library(some), strict=True))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        whole = {w for w in words if not w.isascii() and OTHER.search(w) or "<|" in w}
+        cut = [(w,) if w in whole else PRE.findall(w.lower()) for w in words]
+        known = self.parts
+        new = list({p for c in cut for p in c if p not in known} - whole)
+        self.learn(new)
+        as_is = list(whole)
+        known.update(zip(as_is, self.library(as_is), strict=True))
+        out = [b"".join([known[p] for p in c]) for c in cut]
+        for p in (*as_is, *new):
+            if len(p) > 64 or p in whole:
+                del known[p]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids, without END."""
-        words = list(map(self.cut, texts))
-        if len(self.known) > CACHE:
-            self.known.clear()
-        get = self.known.get
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        get = self.words.get
         ids = [list(map(get, w)) for w in words]
         gaps = [i for i, x in enumerate(ids) if None in x]
         new = list({w for i in gaps for w, x in zip(words[i], ids[i], strict=True) if x is None})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        self.words.update(zip(new, self.encode_words(new), strict=True))
         for i in gaps:
             ids[i] = map(get, words[i])
         out = list(map(b"".join, ids))
         for w in new:
             if len(w) > 64:
-                del self.known[w]
+                del self.words[w]
         return out
 
 
