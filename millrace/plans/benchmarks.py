@@ -96,3 +96,18 @@ register("sqbm_join_swing", f"SELECT max(b1.kseq) AS m FROM {_B} b1, {_B} b2 WHE
 for _k in ("k2", "k4", "k10", "k25"):
     register(f"groupby_{_k}", f"SELECT {_k}, CAST(sum(k1k) AS BIGINT) AS s, min(k1k) AS lo, max(k1k) AS hi, count(*) AS n FROM {_B} b GROUP BY {_k}")
 register("drill_facts", "SELECT n_name, c_mktsegment, CAST(year(o_orderdate) AS BIGINT) AS y, count(DISTINCT c_custkey) AS customers, round(sum(o_totalprice), 2) AS sales FROM {orders}, {customer}, {nation} WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey GROUP BY 1, 2, 3")
+register("tpch_q8_shape", """
+SELECT year(o_orderdate) AS o_year, round(sum(CASE WHEN sn.n_name = cn.n_name THEN l_extendedprice ELSE 0 END), 2) AS own, round(sum(l_extendedprice), 2) AS volume
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
+  JOIN {nation} sn ON s_nationkey = sn.n_nationkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} cn ON c_nationkey = cn.n_nationkey JOIN {region} ON cn.n_regionkey = r_regionkey
+WHERE r_name = 'ASIA' AND p_size < 25 GROUP BY year(o_orderdate)""", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(CASE WHEN sn.n_name = cn.n_name THEN l_extendedprice ELSE 0 END), 2) AS own, round(sum(l_extendedprice), 2) AS volume
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region ON cn.n_regionkey = r_regionkey
+WHERE r_name = 'ASIA' AND p_size < 25 GROUP BY year(o_orderdate)""")
+register("tpch_q21_shape", """
+SELECT s_name, count(*) AS numwait FROM {supplier} JOIN {lineitem} a ON s_suppkey = a.l_suppkey JOIN {orders} ON o_orderkey = a.l_orderkey
+WHERE o_orderstatus = 'F' AND a.l_returnflag = 'R'
+  AND EXISTS (SELECT 1 FROM {lineitem} b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey)
+  AND NOT EXISTS (SELECT 1 FROM {lineitem} c WHERE c.l_orderkey = a.l_orderkey AND c.l_suppkey <> a.l_suppkey AND c.l_returnflag = 'R')
+GROUP BY s_name""")
