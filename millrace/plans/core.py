@@ -71,6 +71,14 @@ def join_range_binned(spark, sf_dir):
     return relational.range_join(points, ranges, "at", "low", "high", 5.0).select("o_orderkey", "p_partkey")
 
 
+@query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice / 100 >= p_retailprice AND o_totalprice / 100 < p_retailprice + 5")
+def join_range_all(spark, sf_dir):
+    """join_range_binned without the p_partkey filter of its SQL: all orders against all parts."""
+    points = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
+    ranges = load(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
+    return relational.range_join(points, ranges, "at", "low", "high", 5.0).select("o_orderkey", "p_partkey")
+
+
 @query("SELECT e.event_id, p.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def join_as_of(spark, sf_dir):
     e = load(spark, sf_dir, "events")

@@ -1,6 +1,7 @@
 """Rules that the SQL comparison does not reach."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from millrace.functions import strings as S
 from millrace.operators import dml
 from millrace.operators import relational as R
 from millrace.operators import table_functions as T
+from millrace.plans.registry import QUERIES
 from millrace.sources import catalog, flatfile
 from millrace.streaming import windows
 
@@ -162,6 +164,17 @@ def test_range_join_has_no_product(spark):
     assert df.count() == 4 and "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_range_join_takes_all_parts(spark, tmp_path):
+    rnd = random.Random(4)
+    parts = [(k, rnd.randint(9000, 9200) / 10) for k in range(0, 1000, 7)]
+    orders = [(k, rnd.randint(89000, 93000) * 1.0) for k in range(300)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted((o, p) for o, at in orders for p, low in parts if low <= at / 100 < low + 5)
+    assert any(p >= 200 for _, p in want)
+    assert sorted(tuple(r) for r in QUERIES["join_range_all"](spark, f"file://{tmp_path}").collect()) == want
+
+
 def test_stream(spark, tmp_path, sf_dir):
     e = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     q = windows.tumbling_counts(e, "ts", ["event_type"], "1 day", "1 hour").writeStream.format("memory").queryName("tumbling").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
