@@ -266,8 +266,8 @@ def all_across(frames):
                 yield _pairs(e, np.full(len(j), a + k), j)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """Rows (id, n_shingles, component_id), one for each document."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Members (id, key, n, cls), one for each document, and classes (cls, comp, component_id)."""
     spark = docs.sparkSession
     n_parts = common.parts(spark)
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
@@ -325,22 +325,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comps = common.components(edges)
     info = reps.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("comp"))
     lowest = info.groupBy("comp").agg(F.min("first").alias("component_id"))
-    info = common.written(info.join(lowest, "comp").select("cls", "component_id"), "jaccard-info")
-    out = members.join(info, "cls", "left")
+    return members, info.join(lowest, "comp").select("cls", "comp", "component_id")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """Rows (id, n_shingles, component_id), one for each document."""
+    members, info = _classes(docs, id_col, text_col, width)
+    out = members.join(common.written(info.select("cls", "component_id"), "jaccard-info"), "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id; all columns stay. Of repeated rows one stays.
 
-    Documents without words are alone in their component and stay.
+    Rows are told apart by id and a hash of id and text, so null and repeated ids are no exception: of several rows
+    with a component's smallest id that with the smallest hash stays. Documents without words are alone in their
+    component and stay.
     """
-    comps = jaccard_components(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    firsts = common.written(comps.groupBy(F.col(id_col).alias("__first")).agg(F.count(F.lit(1)).alias("__n")), "jaccard-kept")
-    of = lambda which: docs.join(firsts.where(which).hint("merge"), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
-    kept = of("__n = 1 OR __first IS NULL")
-    again = "__n > 1 AND __first IS NOT NULL"  # rows that are repeated, if there are any
-    return kept if firsts.where(again).isEmpty() else kept.unionByName(of(again).dropDuplicates([id_col]))
+    members, info = _classes(docs, id_col, text_col, SHINGLE)
+    low = members.join(common.written(info, "jaccard-info"), "cls", "left").where(F.col("cls").isNull() | F.col("id").eqNullSafe(F.col("component_id")))
+    rows = low.groupBy("comp", "id", "key").agg(F.count(F.lit(1)).alias("n"))
+    alone = F.when(F.col("comp").isNull(), F.col("key")).alias("alone")  # without words each row is its own component
+    firsts = rows.groupBy("comp", "id", alone).agg(F.min("key").alias("__first_key"), F.min_by("n", "key").alias("__n"))
+    firsts = common.written(firsts.select(F.col("id").alias("__first"), "__first_key", "__n"), "jaccard-kept")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    same = (F.col("__key") == F.col("__first_key")) & F.col(id_col).eqNullSafe(F.col("__first"))
+    of = lambda which: keyed.join(firsts.where(which).hint("merge"), same, "left_semi")
+    kept, again = of("__n = 1"), "__n > 1"  # rows that are repeated, if there are any
+    kept = kept if firsts.where(again).isEmpty() else kept.unionByName(of(again).dropDuplicates([id_col, "__key"]))
+    return kept.drop("__key")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

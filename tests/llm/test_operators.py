@@ -200,6 +200,16 @@ def test_jaccard(docs, empty):
     assert kept.columns == docs.columns
 
 
+def test_jaccard_keeps_by_row(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    rows = [(None, one), (None, one), (None, one.upper()), (1, two), (None, two), (2, three), (2, four), (2, four), (None, "..."), (None, ""), (None, None), (3, None), (3, ""), (3, "")]
+    rows = [(k, t, n) for n, (k, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = [(r.doc_id, r.text if r.doc_id is not None or r.text is None else r.text.lower()) for r in jaccard.keep_one(docs).collect()]
+    want = [(None, one), (1, two), (2, three), (2, four), (None, "..."), (None, ""), (None, None), (3, None), (3, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_jaccard_large_group(spark):
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(120)]
