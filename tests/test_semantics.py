@@ -158,6 +158,13 @@ def test_catalog(spark, sf_dir):
     assert got["n_nationkey"].rows == 25 and got["n_nationkey"].nulls == 0 and got["n_regionkey"].low == "0"
 
 
+def test_analyze_counts_all_rows_in_bars(spark):
+    df = spark.range(1000).selectExpr("id", "id / 4 AS x", "date_add(DATE'2020-01-01', CAST(id % 7 AS INT)) AS d", "IF(id < 10, NULL, CAST(id % 3 AS DECIMAL(9,2))) AS m", "'a' AS s")
+    got = {r.column_name: r.histogram for r in catalog.analyze(df, bins=8).collect()}
+    assert {c: sum(b.y for b in got[c]) for c in ("id", "x", "d", "m")} == {"id": 1000, "x": 1000, "d": 1000, "m": 990}
+    assert len(got["id"]) == 8 and len(got["d"]) <= 8 and len(got["m"]) <= 8 and got["s"] is None
+
+
 def test_range_join_has_no_product(spark):
     a, b = spark.range(10).withColumn("x", F.col("id") * 1.0), spark.createDataFrame([(0.0, 3.0), (8.5, 20.0)], "lo double, hi double")
     df = R.range_join(a, b, "x", "lo", "hi", 4.0)
