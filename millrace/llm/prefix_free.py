@@ -9,8 +9,8 @@ windows whose trigger lies STEP * k to STEP * k + STEP - 1 bytes behind their st
 (the bytes that all windows of such a piece hold) occurs once have no repeats, pieces that occur again whole
 are repeats, and of the few that are left the windows are compared one by one, by 64-bit hashes.
 
-What this leaves out of the method's name: the dictionary's suffixes are not sorted. The answer needs the
-classes of equal WIDTH-byte prefixes among them, not their order, and hashes give the classes without
+What this leaves out of the method's name: no parse (the sequence of phrase ranks) is kept, no suffix array of
+dictionary or parse is built, and they are not combined into corpus order. The answer needs the classes of equal WIDTH-byte prefixes among them, not their order, and hashes give the classes without
 bringing all suffixes that begin alike to one task, however common the text that they begin with.
 
 A window counts if it starts anywhere else, in the same text included; every byte it covers is removed, in
