@@ -9,7 +9,8 @@ probability that its grade is at least KEEP_GRADE.
 Fitting uses at most SAMPLE labelled rows, those with the smallest hashes of their ids; this bound is the
 parameter `sample`. Scoring reads every whole text. Labels that are null are not used. Null and empty texts
 have no features, so their score is 0. Without labels, or with one grade only, every document is kept.
-Repeated label rows for a document count once, with the lowest grade. Only named columns are read.
+Repeated label rows for a document count once, with the lowest grade; of rows with one id, the one whose
+features come first in byte order is fitted. Every row is scored. Only named columns are read.
 """
 
 from __future__ import annotations
@@ -149,7 +150,10 @@ def _grade():
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most `sample` labelled documents; their features, not their texts, come to the driver."""
+    """Fit on at most `sample` labelled documents; their features, not their texts, come to the driver.
+
+    Rows that repeat an id count once, so that no more than `sample` rows are collected, however often an id is there.
+    """
     rated = labels.select(F.col(id_col).alias("k"), _grade().alias("g")).where("k IS NOT NULL AND g BETWEEN 0 AND 2").groupBy("k").agg(F.min("g").alias("g"))
     rated = rated.orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(rated), "k").select("k", "g", "t")
@@ -162,7 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 yield pd.DataFrame({"k": f["k"][a:b], "g": f["g"][a:b], "x": [feature[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(b - a)]})
 
-    got = sorted(rows.mapInPandas(run, "k string, g int, x binary" if docs.schema[id_col].dataType.simpleString() == "string" else "k long, g int, x binary").collect(), key=lambda r: (r["k"], r["x"]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    seen = rows.select(F.col("k").cast("string"), "g", "t").mapInPandas(run, "k string, g int, x binary")
+    one = seen.groupBy("k").agg(F.min("g").alias("g"), F.min("x").alias("x"))  # combined by each task first
+    key = (lambda r: r["k"]) if kind == "string" else (lambda r: (len(r["k"]), r["k"]))
+    got = sorted(one.collect(), key=key)
     return fit([np.frombuffer(r["x"], dtype=np.int32) for r in got], np.array([r["g"] for r in got], dtype=int), 2)
 
 
