@@ -2,9 +2,12 @@
 
 A text is cut into pre-tokens at places that no merge can cross: before a run of blanks, and around line
 feeds where the vocabulary has none. The distinct pre-tokens of a batch are held as one ragged array of
-symbols. Each step finds, for all sequences at once, the sequence's pair of lowest rank (leftmost among
-equals), merges it, and drops sequences without a mergeable pair. The surviving symbols are counted; a
-character outside the vocabulary counts its UTF-8 bytes (byte fallback).
+symbols. Each step finds, for all sequences at once, the sequence's pair of lowest rank, merges every place
+where a pair of that rank stands (from the left, without overlaps), and drops sequences without a mergeable
+pair. A merge that would make a pair of no higher rank beside it is a sequence's last of its step, so that the
+order is the library's. The surviving symbols are counted; a character outside the vocabulary counts its UTF-8
+bytes (byte fallback). Sequences go through the arrays in groups of like length and of at most GROUP symbols
+(or one longer sequence), whatever their length.
 
 Nulls and empty texts have 0 tokens. Repeated rows give repeated rows. Columns other than the two named
 are not read, so their names can't clash. Memory: one batch of texts and a table of at most CACHE counts.
@@ -12,7 +15,6 @@ are not read, so their names can't clash. Memory: one batch of texts and a table
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -24,11 +26,13 @@ from millrace.llm import common, kernels
 
 MODEL = "piece_bpe_32k.model"
 OVER = 4096
-#: Counts kept for pre-tokens that return; the table is emptied when full. It changes speed only.
-CACHE = 400_000
-#: Pre-tokens of more symbols are merged with a heap, one by one, which is linear in their length.
-LONG = 400
+#: Counts kept for pre-tokens of at most KEPT characters; the table is emptied when full. It changes speed only.
+CACHE, KEPT = 400_000, 400
+#: Symbols of the sequences that are merged together; it bounds the temporaries.
+GROUP = 1 << 18
 NONE = np.int64(1) << 62
+#: Texts whose counts are compared with the library's when a model is loaded: a model with other rules raises.
+PROBES = ("Hello world", " two  blanks ", "a\nb\tc", "1234 ½ é e\u0301 漢字 😀", "<s> ▁x", "aaaa aaaaaaaa")
 
 
 class RankMerger:
@@ -65,6 +69,9 @@ class RankMerger:
         assert all("▁" not in p.lstrip("▁") for p in pieces), "a piece has a blank inside"
         self.cut = re.compile("▁*[^▁\n]+|▁+|\n" if "\n" not in inside else "▁*[^▁]+|▁+")
         self.known: dict[str, int] = {}
+        for probe in PROBES:
+            if self.counts([probe]) != [len(model.encode(probe))]:
+                raise ValueError(f"{path} cuts texts in another way than this module")
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) * self.width + right
@@ -96,8 +103,7 @@ class RankMerger:
                 if not len(live):
                     break
                 low, first = low[~done], kernels.runs(seq)
-            hits = np.flatnonzero(rank == low[seq])
-            at = hits[np.searchsorted(hits, first)]  # leftmost of each sequence
+            at = self.together(np.flatnonzero(rank == low[seq]), low, seq, sym, into)
             sym[at], weight[at] = into[at], 1
             keep = np.ones(len(sym), dtype=bool)
             keep[at + 1] = False
@@ -112,46 +118,48 @@ class RankMerger:
                 rank[i], into[i] = self.ranks(sym[i], sym[i + 1])
         return out
 
-    def heap_count(self, s: str) -> int:
-        """The same for one long sequence, with a heap of pairs."""
-        code = np.frombuffer(s.encode("utf-32-le"), dtype="<u4")
-        sym, weight = self.symbol[code].tolist(), self.weight[code].tolist()
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n and sym[i] >= 0 and sym[j] >= 0 and (hit := self.pairs.get(sym[i] * self.width + sym[j])):
-                heapq.heappush(heap, (hit[0], i, sym[i], sym[j], hit[1]))
-
-        for i in range(n - 1):
-            push(i, i + 1)
-        while heap:
-            _, i, a, b, into = heapq.heappop(heap)
-            j = right[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], weight[i], sym[j], weight[j] = into, 1, -2, 0
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            push(left[i], i)
-            push(i, right[i])
-        return sum(weight)
+    def together(self, hits: np.ndarray, low: np.ndarray, seq: np.ndarray, sym: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Of the places of lowest rank, those that can be merged in one step as if from left to right."""
+        first = np.ones(len(hits), dtype=bool)
+        first[1:] = hits[1:] != hits[:-1] + 1
+        begin = np.flatnonzero(first)
+        hits = hits[(np.arange(len(hits)) - np.repeat(begin, np.diff(begin, append=len(hits)))) % 2 == 0]
+        made, of = into[hits], seq[hits]
+        left, right = np.maximum(hits - 1, 0), np.minimum(hits + 2, len(seq) - 1)
+        before = np.where((hits > 0) & (seq[left] == of), sym[left], -1)
+        near = np.flatnonzero(hits[1:] == hits[:-1] + 2) + 1  # the symbol before is one that this step has made
+        near = near[of[near] == of[near - 1]]
+        before[near] = made[near - 1]
+        after = np.where((hits + 2 < len(seq)) & (seq[right] == of), sym[right], -1)
+        stop = np.minimum(self.ranks(before, made)[0], self.ranks(made, after)[0]) <= low[of]
+        if not stop.any():
+            return hits
+        stopped = np.cumsum(stop) - stop
+        run = kernels.runs(of)
+        return hits[stopped == np.repeat(stopped[run], np.diff(run, append=len(of)))]
+
+    def grouped(self, seqs: list[str]):
+        """Groups of sequences of like length."""
+        seqs = sorted(seqs, key=len)
+        a = size = 0
+        for i, s in enumerate(seqs):
+            if i > a and (size + len(s) > GROUP or len(s) > max(32, 2 * len(seqs[a]))):
+                yield seqs[a:i]
+                a, size = i, 0
+            size += len(s)
+        if seqs:
+            yield seqs[a:]
 
     def counts(self, texts: list[str]) -> list[int]:
         cut = [self.cut.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
-        short = [s for s in new if len(s) <= LONG]
-        self.known.update(zip(short, self.merged(short).tolist(), strict=True))
-        for s in new:
-            if len(s) > LONG:
-                self.known[s] = self.heap_count(s)
+        for some in self.grouped(new):
+            self.known.update(zip(some, self.merged(some).tolist(), strict=True))
         out = [sum(map(self.known.__getitem__, c)) for c in cut]
         for s in new:
-            if len(s) > LONG:
+            if len(s) > KEPT:
                 del self.known[s]
         return out
 
