@@ -2,12 +2,15 @@
 
 Every page becomes a record, a gzip member of an archive file. Of equal payloads of at least REVISIT bytes
 the one with the smallest id is a response, the others are revisits that carry its digest. Each task sorts
-its captures by URL key, time and id (a run). Runs are dealt by ranges of that key; within a range a loser
-tree merges the runs' segments, so that the index as a whole is in capture order. Records are read back by
-the index's offsets.
-
-Null html is an empty payload, a null url an empty key. Repeated rows give repeated records; equal rows with
-the smallest id are all responses. A page without id is never referred to. Only named columns are read.
+its captures by URL key, time and id (a run) and writes the run. Keys sampled from the runs, at most SAMPLED for
+each range, part the order into ranges that hold a URL's captures apart if they are many. A run is cut into its
+segments, one for each range, which travel packed in blocks of BLOCK captures and keep their order; within a
+range a loser tree merges the segments and unpacks one block of each at a time. Partition k holds range k, so
+that the index as a whole is in capture order. Records are read back by the index's offsets.
+
+Null html is an empty payload, a null url an empty key; an empty table gives an empty index. Repeated rows give
+repeated records; equal rows with the smallest id are all responses. A page without id comes first among those of
+its key and time and is never referred to. Only named columns are read, so other names can't clash.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ import datetime
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,9 @@ from millrace.llm import common, storage
 REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
 RUN_RECORDS = 50_000
+BLOCK, SAMPLED = 256, 40
+#: Stands for a null id in the order of captures.
+NO_ID = -(1 << 63)
 EPOCH = datetime.datetime(2024, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "url_key string, captured string, page_id long, run string, archive string, offset long, length long"
@@ -70,48 +78,99 @@ def parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), body
 
 
-def loser_tree(runs: list[list[tuple]]):
-    """Merge sorted runs. Each inner node holds the run that lost there; the winner moves up."""
+def loser_tree(runs: list):
+    """Merge sorted runs, any iterables. Each inner node holds the run that lost there; the winner moves up."""
+    done = object()
+    runs = [iter(r) for r in runs]
     k = len(runs)
-    if k == 1:
-        yield from runs[0]
-        return
-    at = [0] * k
-    key = lambda r: (0, runs[r][at[r]]) if at[r] < len(runs[r]) else (1, ())
-    tree, best = [0] * k, list(range(k))
-    winners = [0] * k + best
+    head = [next(r, done) for r in runs]
+    before = lambda a, b: head[b] is done or (head[a] is not done and head[a] <= head[b])
+    tree, winners = [0] * max(k, 1), [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
         a, b = winners[2 * node], winners[2 * node + 1]
-        winners[node], tree[node] = (a, b) if key(a) <= key(b) else (b, a)
-    win = winners[1]
-    while at[win] < len(runs[win]):
-        yield runs[win][at[win]]
-        at[win] += 1
-        node, now = (win + k) // 2, key(win)
+        winners[node], tree[node] = (a, b) if before(a, b) else (b, a)
+    win = winners[1] if k > 1 else 0
+    while k and head[win] is not done:
+        yield head[win]
+        head[win] = next(runs[win], done)
+        node = (win + k) // 2
         while node:
-            if (other := key(tree[node])) < now:
-                tree[node], win, now = win, tree[node], other
+            if not before(win, tree[node]):
+                tree[node], win = win, tree[node]
             node //= 2
 
 
-def merge_partition(frames):
-    """Merge the segments of all runs that fell into one range."""
-    runs: dict[str, list[tuple]] = {}
-    names = None
+def packed(rows: list[tuple]) -> bytes:
+    """A sorted segment as blocks, each compressed by itself; a row's first three values are its key."""
+    out = []
+    for a in range(0, len(rows), BLOCK):
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + BLOCK], strict=True)], names=[str(i) for i in range(len(rows[0]))])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(batch)
+        data = sink.getvalue().to_pybytes()
+        out += [len(data).to_bytes(4, "little"), data]
+    return b"".join(out)
+
+
+def unpacked(segment: bytes):
+    """The rows of a segment, a block at a time."""
+    at = 0
+    while at < len(segment):
+        size = int.from_bytes(segment[at : at + 4], "little")
+        with pa.ipc.open_stream(pa.py_buffer(segment[at + 4 : at + 4 + size])) as r:
+            for batch in r:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        at += 4 + size
+
+
+def segments(frames, cuts: list[tuple]):
+    """Cut the runs of a task at the ranges' bounds: frames (part, segment)."""
+
+    def emit(rows):
+        bounds = [0, *(bisect_left(rows, c, key=lambda r: r[:3]) for c in cuts), len(rows)]
+        got = [(i, packed(rows[a:b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+        return pd.DataFrame(got, columns=["part", "segment"]).astype({"part": "int32"})
+
+    rows: list[tuple] = []
+    for f in frames:
+        page = f["page_id"].astype("Int64").fillna(NO_ID).astype("int64")
+        for row in zip(f["url_key"], f["captured"], page, f["run"], f["archive"], f["offset"], f["length"], strict=True):
+            if rows and (rows[-1][3] != row[3] or len(rows) == RUN_RECORDS):
+                yield emit(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield emit(rows)
+
+
+def merge_range(frames):
+    """Merge the segments of each range of a partition; the ranges come in order."""
+
+    def merged(parts):
+        out: list[tuple] = []
+        for row in loser_tree([unpacked(p) for p in parts]):
+            out.append((*row[:2], None if row[2] == NO_ID else row[2], *row[3:]))
+            if len(out) == 10_000:
+                yield out
+                out = []
+        yield out
+
+    now, parts = None, []
+
+    def flush():
+        for out in merged(parts):
+            yield pd.DataFrame(out, columns=["url_key", "captured", "page_id", "run", "archive", "offset", "length"]).astype({"page_id": "Int64"})
+
     for f in frames:
-        names = list(f.columns)
-        for row in f.itertuples(index=False):
-            runs.setdefault(row.run, []).append(((row.url_key, row.captured, -1 if pd.isna(row.page_id) else int(row.page_id), row.archive, row.offset), row))
-    if not runs:
-        return
-    segments = [sorted(r) for r in runs.values()]  # a run's blocks come sorted, in any order of blocks
-    out: list[tuple] = []
-    for _, row in loser_tree(segments):
-        out.append(row)
-        if len(out) == 10_000:
-            yield pd.DataFrame(out, columns=names)
-            out = []
-    yield pd.DataFrame(out, columns=names)
+        for part, segment in zip(f["part"], f["segment"], strict=True):
+            if part != now and parts:
+                yield from flush()
+                parts = []
+            now = part
+            parts.append(bytes(segment))
+    if parts:
+        yield from flush()
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -128,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         def flush():
             name = uuid.uuid4().hex
-            captures.sort(key=lambda c: (c[0], c[1], -1 if c[2] is None else c[2]))
+            captures.sort(key=lambda c: (c[0], c[1], NO_ID if c[2] is None else c[2]))
             return pd.DataFrame([(*c[:3], name, *c[3:]) for c in captures], columns=["url_key", "captured", "page_id", "run", "archive", "offset", "length"]).astype({"page_id": "Int64"})
 
         for f in frames:
@@ -153,9 +212,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
-    """All captures in order of URL key, time and id: ranges, each merged from the runs by a loser tree."""
-    n = common.parts(runs.sparkSession)
-    return runs.repartitionByRange(n, "url_key", "captured", "page_id").mapInPandas(merge_partition, INDEX)
+    """All captures in order of URL key, time and id: ranges, each merged from the runs' segments by a loser tree."""
+    n, total = common.parts(runs.sparkSession), runs.count()
+    key = F.struct("url_key", "captured", F.coalesce("page_id", F.lit(NO_ID)).alias("page"))
+    share = min(1.0, SAMPLED * n / max(total, 1))
+    some = sorted(tuple(r[0]) for r in runs.sample(share, 1).select(key).limit(2 * SAMPLED * n).collect())  # bounded by the number of ranges
+    cuts = sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
+    parts = runs.mapInPandas(lambda frames: segments(frames, cuts), "part int, segment binary")
+    return parts.repartitionById(n, "part").sortWithinPartitions("part").mapInPandas(merge_range, INDEX)
 
 
 def read_back(index: DataFrame) -> DataFrame:
