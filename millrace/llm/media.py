@@ -1,8 +1,9 @@
 """Operator 5: media columns over content-addressed payloads in tar shards.
 
 A text's UTF-8 bytes, padded with bytes 255 to a positive multiple of BLOCK, are stored as the samples of an
-8-bit greyscale PNG of width BLOCK (lossless). The member's name is the SHA-256 of the PNG; equal members
-are stored once in a shard. Rows carry digest, shard, offset and length. Metadata columns come from a range
+8-bit greyscale PNG of width BLOCK (lossless). The member's name is the SHA-256 of the PNG. A shard holds a
+member once, and of equal members in several tasks' shards one is elected: a digest has one address, to which
+all rows with that content refer. Rows carry digest, shard, offset and length. Metadata columns come from a range
 read of the 33 bytes that hold a PNG's header; features come from the samples, read back and unpacked.
 
 Null and empty texts give one block of 255. Equal texts give equal values. Repeated rows give repeated rows.
@@ -113,7 +114,9 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         tar.close()
 
     rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
-    return common.written(rows.mapInPandas(run, "k string, n_bytes long, digest string, shard string, offset long, length long"), "media-index")
+    wrote = common.written(rows.mapInPandas(run, "k string, n_bytes long, digest string, shard string, offset long, length long"), "media-written")
+    one = wrote.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    return common.written(wrote.select("k", "n_bytes", "digest").join(one, "digest").select("k", "n_bytes", "digest", "at.*"), "media-index")
 
 
 def metadata(index: DataFrame) -> DataFrame:
