@@ -4,12 +4,13 @@ Every document is a reference: its non-overlapping blocks of BLOCK words, at fix
 document's rolling windows of BLOCK words probe the index. A run of WINDOW = 2 * BLOCK words that two documents
 share holds a whole block of either one, so it has a hit in both. Blocks and probes are keyed by the least
 hash of the GRAM-word grams in them: neighbouring probes have the same key and travel once, and equal blocks
-have equal keys. Around hits, and only there, windows of WINDOW words are compared by 64-bit hashes: those
+have equal keys. Around hits, and only there, windows of WINDOW words are compared by two 64-bit hashes: those
 that start in a document with a smaller id too are removed. Overlapping windows make the maximal exact repeats.
 
 Words are [^\\x20\\x09-\\x0D]+ of the whole text, unchanged. Null and empty texts have none. Repeated rows have
-equal ids, so neither is smaller and both stay. A row without id is larger than all others. Only the two
-named columns are read, unless the documents themselves are asked for.
+equal ids, so neither is smaller and both stay. A row without id is larger than all others. Ids are whole numbers
+or texts that stand for such. Only the two named columns are read, unless the documents themselves are asked for;
+then their other columns pass through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +34,14 @@ def _block_keys(w: kernels.Words) -> np.ndarray:
     return kernels.sliding_min(kernels.rolling(w.hash, GRAM), BLOCK - GRAM + 1)
 
 
+def _key(id_col: str, text_col: str):
+    """A row's key. Rows too short to hold a window are in no group, however many are alike."""
+    short = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) < 2 * WINDOW - 1
+    return F.when(short, F.xxhash64(F.monotonically_increasing_id(), F.lit("short"))).otherwise(F.xxhash64(F.col(id_col), F.col(text_col)))
+
+
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(windows.NO_ID))).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(windows.NO_ID))).alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
 
 
 def _hits(base: DataFrame) -> DataFrame:
@@ -116,8 +123,8 @@ def repeats(base: DataFrame) -> DataFrame:
                 at, of = w.whole(WINDOW)
                 near = sums[at + BLOCK + 1] > sums[at]  # a hit starts at one of the window's first BLOCK + 1 words
                 at, of = at[near], of[near]
-                fp = kernels.rolling(w.hash, WINDOW)[at]
-                yield from windows.sent(windows.entries(fp, ident[a:b][of], key[a:b][of], at - w.first[:-1][of]), "smaller", WINDOW, n)
+                fp, fp2 = (kernels.rolling(w.hash, WINDOW, k)[at] for k in (0, 1))
+                yield from windows.sent(windows.entries(fp, fp2, ident[a:b][of], key[a:b][of], at - w.first[:-1][of]), "smaller", WINDOW, n)
 
     frames = near.select("id", "key", "t", "hits").mapInPandas(compare, "bucket int, blob binary")
     return windows.gathered(windows.resolve(frames, "smaller", WINDOW), windows.SPAN).select("key", F.col("blob").alias("found"))
@@ -159,8 +166,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document of which nothing is left goes; one that had no words stays. A column n_chars follows the text.
     """
-    base = docs.withColumns({"__key": F.xxhash64(F.col(id_col), F.col(text_col))})
-    found = repeats(_base(docs, id_col, text_col)).withColumnRenamed("key", "__key").withColumnRenamed("found", "__found")
+    found = repeats(_base(docs, id_col, text_col))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, found: pd.Series) -> pd.Series:
@@ -172,10 +178,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append(b" ".join(_cut(t.encode(), blob)[0]).decode())
         return common.texts(out)
 
-    rows = base.join(found, "__key", "left").withColumn("__text", F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__found"))))
-    rows = rows.where("__found IS NULL OR __text <> ''")
-    new = {text_col: F.col("__text")} | ({"n_chars": F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))} if "n_chars" in docs.columns else {})
-    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    # The documents' own columns travel as one struct, so that no name of theirs can meet one of ours.
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _key(id_col, text_col).alias("key"))
+    text = F.col("doc")[text_col]
+    rows = base.join(found, "key", "left").select("doc", "found", F.when(F.col("found").isNull(), text).otherwise(cut(text, F.col("found"))).alias("kept"))
+    rows = rows.where("found IS NULL OR kept <> ''")
+    new = {text_col: F.col("kept")} | ({"n_chars": F.when(F.col("found").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("kept").cast("long"))} if "n_chars" in docs.columns else {})
+    return rows.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(BASE, -1, 1 << 64)
+#: Two bases: two hashes of 64 bits each decide together whether sequences are equal.
+BASES = (BASE, 0xC2B2AE3D27D4EB4F)
 #: A batch is cut at this many bytes (a longer text is a batch of its own), which bounds the temporaries.
 BATCH_BYTES = 1 << 20
 BYTE_CODE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), dtype=U).copy()
@@ -21,18 +22,18 @@ IS_BLANK = np.zeros(256, dtype=bool)
 IS_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers.get("up", ())) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n."""
+    if len(_powers.get((which, 1), ())) < n:
         size = max(n, BATCH_BYTES + 65536)
-        for name, base in (("up", BASE), ("down", _INV)):
-            p = np.full(size, base, dtype=U)
+        for sign in (1, -1):
+            p = np.full(size, pow(BASES[which], sign, 1 << 64), dtype=U)
             p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=U)
-    return _powers["up"], _powers["down"]
+            _powers[which, sign] = np.cumprod(p, dtype=U)
+    return _powers[which, 1], _powers[which, -1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,25 +46,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(codes) + 1)
+def prefix_sums(codes: np.ndarray, which: int = 0) -> np.ndarray:
+    up, _ = powers(len(codes) + 1, which)
     out = np.empty(len(codes) + 1, dtype=U)
     out[0] = 0
     np.cumsum(codes * up[: len(codes)], dtype=U, out=out[1:])
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of codes[start:end], the same wherever the sequence stands."""
-    _, down = powers(len(sums))
+    _, down = powers(len(sums), which)
     return mix((sums[end] - sums[start]) * down[start])
 
 
-def rolling(codes: np.ndarray, width: int) -> np.ndarray:
+def rolling(codes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """Hashes of all windows of `width` codes; those that leave their text are the caller's to mask."""
     if len(codes) < width:
         return np.zeros(0, dtype=U)
-    sums, (_, down) = prefix_sums(codes), powers(len(codes) + 1)
+    sums, (_, down) = prefix_sums(codes, which), powers(len(codes) + 1, which)
     n = len(codes) - width + 1
     return mix((sums[width:] - sums[:n]) * down[:n])
 

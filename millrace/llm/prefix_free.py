@@ -32,7 +32,7 @@ WIDTH, TRIGGER = 400, 16
 #: A phrase of more windows (a text that repeats itself) is cut; this changes the work, not the result.
 LONGEST = 512
 STEP = 32
-PHRASE = np.dtype([("m", "<u8"), ("phrase", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4"), ("count", "<i4"), ("mixed", "<i4")])
+PHRASE = np.dtype([("m", "<u8"), ("phrase", "<u8"), ("phrase2", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4"), ("count", "<i4"), ("mixed", "<i4")])
 U = np.uint64
 
 
@@ -50,7 +50,7 @@ class Parse:
         self.chosen = np.flatnonzero(~kernels.sliding_min(~top, self.reach) == self.grams) if len(self.at) else self.at
 
     def phrases(self) -> tuple[np.ndarray, ...]:
-        """Trigger, phrase hash, text, first window (in the text), number of windows, and whether the trigger
+        """Trigger, two phrase hashes, text, first window (in the text), number of windows, and whether the trigger
         occurs in the phrase more than once, so that windows of the phrase may be equal."""
         first = kernels.runs(self.m, self.of)
         size = np.diff(first, append=len(self.m))
@@ -59,15 +59,15 @@ class Parse:
         first = np.repeat(first, pieces) + step
         size = np.minimum(np.repeat(size, pieces) - step, LONGEST)
         start, of, m = self.at[first], self.of[first], self.m[first]
-        phrase = kernels.spans(kernels.prefix_sums(self.codes), start, start + size - 1 + WIDTH)
+        phrase, phrase2 = (kernels.spans(kernels.prefix_sums(self.codes, k), start, start + size - 1 + WIDTH, k) for k in (0, 1))
         low = np.searchsorted(self.chosen, start)
         many = np.searchsorted(self.chosen, start + size + self.reach - 1) - low
         same = self.grams[self.chosen[kernels.ranges(low, many)]] == np.repeat(m, many)
         times = np.bincount(np.repeat(np.arange(len(m)), many)[same], minlength=len(m))
-        return m, kernels.mix(phrase ^ kernels.mix(size.astype(U))), of, start - self.b.at[:-1][of], size, times > 1
+        return m, kernels.mix(phrase ^ kernels.mix(size.astype(U))), phrase2, of, start - self.b.at[:-1][of], size, times > 1
 
     def pieces(self, of: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Core hash, whole hash, text, first window and number of windows of the pieces of some windows of a text."""
+        """Core hash, two hashes of the whole, text, first window and number of windows of the pieces of some windows of a text."""
         first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(self.b.at) - 1 - WIDTH + 1, 0))])[:-1]  # of each text, among all windows
         w = kernels.ranges(first[of] + start, size)
         at, m, text = self.at[w], self.m[w], self.of[w]
@@ -87,21 +87,25 @@ class Parse:
         last = trigger[head] - STEP * k[head]  # where the piece's last window would start
         core = kernels.mix(kernels.spans(sums, last, last - STEP + 1 + WIDTH) ^ kernels.mix(k[head].astype(U)))
         whole = kernels.mix(kernels.spans(sums, a, a + n - 1 + WIDTH) ^ kernels.mix(((last - a) << 8 | n).astype(U)))
-        return core, whole, text[head], a - self.b.at[:-1][text[head]], n
+        whole2 = kernels.spans(kernels.prefix_sums(self.codes, 1), a, a + n - 1 + WIDTH, 1)
+        return core, whole, whole2, text[head], a - self.b.at[:-1][text[head]], n
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    # Rows too short to hold a window are in no group, however many are alike.
+    short = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) < WIDTH
+    key = F.when(short, F.xxhash64(F.monotonically_increasing_id(), F.lit("short"))).otherwise(F.xxhash64(F.col(id_col), F.col(text_col)))
+    return docs.select(F.col(id_col).cast("string").alias("id"), key.alias("key"), F.col(text_col).alias("t"))
 
 
-def _classes(m: np.ndarray, phrase: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, inner: np.ndarray, n: int):
+def _classes(m: np.ndarray, phrase: np.ndarray, phrase2: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, inner: np.ndarray, n: int):
     """Frames (bucket, blob) of a batch's phrases, or pieces: equal ones go as one, and so do those of one m."""
     e = np.empty(len(m), dtype=PHRASE)
-    e["m"], e["phrase"], e["key"], e["start"], e["n"], e["count"], e["mixed"] = m, phrase, key, start, size, 1, inner
+    e["m"], e["phrase"], e["phrase2"], e["key"], e["start"], e["n"], e["count"], e["mixed"] = m, phrase, phrase2, key, start, size, 1, inner
     if not len(e):
         return
-    e = e[np.lexsort((e["phrase"], e["m"]))]
-    first = kernels.runs(e["m"], e["phrase"])
+    e = e[np.lexsort((e["phrase2"], e["phrase"], e["m"]))]
+    first = kernels.runs(e["m"], e["phrase"], e["phrase2"])
     times = np.diff(first, append=len(e))
     again = e[np.repeat(times > 1, times)]
     one = e[first].copy()
@@ -137,8 +141,8 @@ def _met(frames: DataFrame) -> DataFrame:
             return
         e = np.concatenate(got)
         del got
-        e = e[np.lexsort((e["phrase"], e["m"]))]
-        first = kernels.runs(e["m"], e["phrase"])
+        e = e[np.lexsort((e["phrase2"], e["phrase"], e["m"]))]
+        first = kernels.runs(e["m"], e["phrase"], e["phrase2"])
         times = np.diff(first, append=len(e))
         again = e[np.repeat(np.add.reduceat(e["count"], first) > 1, times)]
         of = kernels.runs(e["m"])
@@ -161,8 +165,8 @@ def dictionary(base: DataFrame) -> DataFrame:
         for f in frames:
             raw, key = kernels.utf8(f["t"]), f["key"].to_numpy(np.int64)
             for a, b in kernels.batches(raw):
-                m, phrase, of, start, size, inner = Parse(kernels.Bytes(raw[a:b])).phrases()
-                yield from _classes(m, phrase, key[a:b][of], start, size, inner, n)
+                m, phrase, phrase2, of, start, size, inner = Parse(kernels.Bytes(raw[a:b])).phrases()
+                yield from _classes(m, phrase, phrase2, key[a:b][of], start, size, inner, n)
 
     return _met(base.select("key", "t").mapInPandas(cut, "bucket int, blob binary"))
 
@@ -189,14 +193,14 @@ def repeats(base: DataFrame) -> DataFrame:
     n = common.parts(base.sparkSession)
 
     def pieces(b, key, of, start, size):
-        core, whole, text, first, many = Parse(b).pieces(of, start, size)
-        return _classes(core, whole, key[text], first, many, np.zeros(len(core), np.int32), n)
+        core, whole, whole2, text, first, many = Parse(b).pieces(of, start, size)
+        return _classes(core, whole, whole2, key[text], first, many, np.zeros(len(core), np.int32), n)
 
     def single(b, key, of, start, size):
         pos, of = kernels.ranges(start, size), np.repeat(of, size)
         at = b.at[:-1][of] + pos
-        fp = kernels.spans(kernels.prefix_sums(b.codes()), at, at + WIDTH)
-        return windows.sent(windows.entries(fp, np.ones(len(fp), np.int64), key[of], pos), "twice", WIDTH, n)
+        fp, fp2 = (kernels.spans(kernels.prefix_sums(b.codes(), k), at, at + WIDTH, k) for k in (0, 1))
+        return windows.sent(windows.entries(fp, fp2, np.ones(len(fp), np.int64), key[of], pos), "twice", WIDTH, n)
 
     by_phrase = common.written(dictionary(base), "phrases")
     by_piece = _met(_asked(base, by_phrase, pieces))

@@ -1,6 +1,6 @@
 """Fixed-width windows that occur elsewhere, found by their hashes without any group of equal ones in one task.
 
-An entry is (hash, id, key of the row, place). Each batch first decides what it can by itself and sends, of
+An entry is (two hashes, id, key of the row, place); windows are equal if both hashes of 64 bits are. Each batch first decides what it can by itself and sends, of
 equal windows, as few as the rest need; a window that stands in a third of all rows arrives as a few entries
 from each task. Rules:
 
@@ -18,21 +18,21 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import common, kernels
 
-ENTRY = np.dtype([("fp", "<u8"), ("id", "<i8"), ("key", "<i8"), ("pos", "<i4")])
+ENTRY = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("id", "<i8"), ("key", "<i8"), ("pos", "<i4")])
 FOUND = np.dtype([("start", "<i4"), ("end", "<i4")])
 SPAN = np.dtype([("key", "<i8"), ("start", "<i4"), ("end", "<i4"), ("kind", "<i4")])
 NO_ID = np.int64(2**63 - 1)
 
 
-def entries(fp: np.ndarray, ident: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def entries(fp: np.ndarray, fp2: np.ndarray, ident: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
     out = np.empty(len(fp), dtype=ENTRY)
-    out["fp"], out["id"], out["key"], out["pos"] = fp, ident, key, pos
+    out["fp"], out["fp2"], out["id"], out["key"], out["pos"] = fp, fp2, ident, key, pos
     return out
 
 
 def _grouped(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e = e[np.lexsort((e["id"], e["fp"]))]
-    first = kernels.runs(e["fp"])
+    e = e[np.lexsort((e["pos"], e["key"], e["id"], e["fp2"], e["fp"]))]
+    first = kernels.runs(e["fp"], e["fp2"])
     return e, first, np.repeat(np.arange(len(first)), np.diff(first, append=len(e)))
 
 
@@ -43,7 +43,8 @@ def in_batch(e: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     e, first, group = _grouped(e)
     if rule == "smaller":
         known = e["id"] > e["id"][first][group]
-        return e[~known], e[known]
+        send, known = e[~known], e[known]
+        return send[kernels.runs(*(send[c] for c in ENTRY.names))], known  # of repeated rows one entry
     many = np.diff(first, append=len(e)) > 1
     send = e[first].copy()
     send["id"] = np.where(many, 2, send["id"])
