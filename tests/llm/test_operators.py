@@ -61,10 +61,16 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
-def test_heap_is_the_same():
-    m = token_counts.merger(common.tokenizer_path(token_counts.MODEL))
-    seqs = ["▁abababab", "▁" * 37, "▁hello", "x", "▁éa漢b", "▁aaaaaaaaaaa"]
-    assert [m.heap_count(s) for s in seqs] == m.merged(seqs).tolist()
+def test_merging_in_steps():
+    """Against the library: long sequences, repeated ones, overlaps and chains of merges."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_path(token_counts.MODEL))
+    m, rnd = token_counts.merger(common.tokenizer_path(token_counts.MODEL)), random.Random(8)
+    seqs = ["x" * 9000, "ab" * 3000, "a" * 4097, "▁" * 37, "漢字" * 900, "".join(rnd.choice("aeiourst") for _ in range(20000))]
+    seqs += ["".join(rnd.choice(kind) for _ in range(rnd.choice((2, 9, 40, 200)))) for kind in ("ab", "aeiourst", "the ing", "x\n\t y", "漢é😀a ") for _ in range(150)]
+    assert m.counts(seqs) == [len(model.encode(s)) for s in seqs]
+    assert m.counts(seqs[::-1]) == m.counts(seqs)[::-1]
 
 
 def test_piece_sampling(docs, empty):
@@ -150,8 +156,9 @@ def test_anchors(docs, empty):
         want.append((k, len(w), len(gone), kept))
     assert rows_of(anchors.dedup_words(docs).select("doc_id", "n_words", "n_removed", "kept")) == sorted(want, key=str)
     assert anchors.dedup_words(empty).count() == 0
-    out = anchors.without_repeats(docs)
-    assert out.columns == docs.columns
+    out = anchors.without_repeats(docs.withColumnsRenamed({"key": "__key", "cls": "found", "blob": "doc"}))
+    assert out.columns == ["doc_id", "text", "__key", "n", "doc", "found"]
+    assert out.where("__key = 'k' AND doc = X'78' AND found = 'c'").count() == out.count()
     left = {(k, n): kept for k, n, gone, kept in want if gone and kept}
     same = {r.doc_id: r.text for r in out.collect()}
     assert all(same[k] == kept for (k, _), kept in left.items())
@@ -314,6 +321,20 @@ def test_warc(spark):
     assert rows_of(got) == sorted(want, key=str)
 
 
+def test_warc_edges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_RECORDS", 20)
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_back(warc.merged_index(warc.write_archives(empty, common.fresh(spark, "warc")))).count() == 0
+    rnd = random.Random(6)
+    rows = [(i - 30, "http://hot.example/" if i % 3 else f"http://{rnd.choice('abc')}.example/{rnd.randrange(9)}", "é" * (300_000 if i == 7 else i)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    index = warc.merged_index(warc.write_archives(pages, common.fresh(spark, "warc")))
+    order = [(r.url_key, r.captured, r.page_id) for r in index.collect()]
+    assert order == sorted(order) and len(order) == 300
+    assert {r.page_id: r.payload_bytes for r in warc.read_back(index).collect()} == {k: len(t.encode()) for k, _, t in rows}
+
+
 def test_loser_tree():
     rnd = random.Random(4)
     for k in range(1, 12):
@@ -353,6 +374,40 @@ def test_near_vectors_hot_bucket(spark, monkeypatch):
     assert all(r.n_links == 99 and r.component_id == 0 for r in got)
 
 
+def test_near_vectors_odd_rows(spark):
+    """Labels whose CRC-32 is equal, repeated and null ids, names that clash, and all components by brute force."""
+    g = np.random.Generator(np.random.PCG64(8))
+    one = [float(x) for x in g.standard_normal(8)]
+    same = zlib.crc32(b"u17025850x/8"), zlib.crc32(b"u148394141x/8")
+    assert same[0] == same[1]
+    rows = [(1, one, "u17025850x"), (2, one, "u148394141x"), (2, one, "u148394141x"), (None, one, "u17025850x"), (None, None, "u17025850x"), (7, one[:7], "u17025850x")]
+    base = g.standard_normal((6, 8))
+    rows += [(100 + i, [float(x) for x in base[i % 6] + 0.001 * g.standard_normal(8)], "groups") for i in range(60)]
+    df = spark.createDataFrame([(*r, "c", 0, b"k") for r in rows], "vec_id long, embedding array<double>, label string, class string, bucket int, n binary").repartition(5)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df).collect()), key=str)
+    unit = [np.array(v) / np.linalg.norm(v) if v else None for _, v, _ in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i][2] == rows[j][2] and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93]
+    comp, n = components(len(rows), links), [sum(i in x for x in links) for i in range(len(rows))]
+    low = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in comp}
+    assert got == sorted(((k, n[i], low[comp[i]], k == low[comp[i]]) for i, (k, _, _) in enumerate(rows)), key=str)
+    text = near_vectors.near_vectors(df.selectExpr("concat('v', vec_id) AS vec_id", "embedding", "label")).where("vec_id = 'v2'").first()
+    assert (text.n_links, text.component_id) == (1, "v2")
+
+
+def test_near_vectors_recall(spark):
+    """Many true links, most of them not far above the threshold."""
+    g = np.random.Generator(np.random.PCG64(12))
+    base = np.repeat(g.standard_normal((60, 64)), 20, axis=0)
+    x = base + 0.24 * g.standard_normal((1200, 64))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = u @ u.T
+    want = (cos >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(v) for v in r], "a") for i, r in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df).collect()}
+    assert want.sum() > 2000 and np.median(cos[(cos >= 0.93) & (cos < 0.9999)]) < 0.95
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum()
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
@@ -372,6 +427,42 @@ def test_quality_edges(spark, docs, empty):
     assert quality.keep_selected(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_quality_collects_no_more_than_the_sample(spark, monkeypatch):
+    rows = [(i % 2, f"word{i % 2} text") for i in range(400)] + [(5, "other words"), (None, "x"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(0, 0, 1), (1, 1, 0), (5, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    got, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, grade, top: got.append(len(rows)) or fit(rows, grade, top))
+    quality.train(docs, labels, sample=2)
+    quality.train(docs, labels)
+    assert got == [2, 4]
+
+
+def test_quality_gradient():
+    """The fitted optimum is one of the penalised likelihood: no small step from it lowers the loss."""
+    rnd = np.random.Generator(np.random.PCG64(2))
+    grade = rnd.integers(0, 3, 200)
+    rows = [np.unique([g if rnd.random() < 0.8 else 3 + g, 10 + rnd.integers(0, 4)]).astype(np.int32) for g in grade]
+
+    def loss(w, cut):
+        out = 0.0
+        for r, g in zip(rows, grade, strict=True):
+            score = w[r].sum()
+            up = [1.0, *(1 / (1 + np.exp(c - score)) for c in cut), 0.0]
+            out -= np.log(up[g] - up[g + 1]) / len(grade)
+        return out + 0.5e-3 * (w**2).sum()
+
+    w, cut = quality.fit(rows, grade, 2, rounds=3000)
+    best = loss(w, cut)
+    for k in np.flatnonzero(w):
+        for d in (-0.02, 0.02):
+            v = w.copy()
+            v[k] += d
+            assert loss(v, cut) > best - 2e-5
+    for d in (-0.02, 0.02):
+        assert loss(w, cut + [d, 0]) > best - 2e-5 and loss(w, cut + [0, d]) > best - 2e-5
+
+
 def test_thresholds_are_ordered():
     rnd = np.random.Generator(np.random.PCG64(1))
     grade = rnd.integers(0, 3, 300)
