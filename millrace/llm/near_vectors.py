@@ -60,8 +60,11 @@ def normalised(vectors) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def links_of_block(x: np.ndarray, keys: np.ndarray, table: int, threshold: float, rows: slice, cols: slice, same: bool):
-    """Links between two blocks that table `table` is the first to hold: (row, column) and nothing else."""
+def links_of_block(x: np.ndarray, keys_of, table: int, threshold: float, rows: slice, cols: slice, same: bool):
+    """Links between two blocks that table `table` is the first to hold: (row, column) and nothing else.
+
+    keys_of: the bucket keys of some rows; only those of rows with a link are asked for.
+    """
     cos = x[rows] @ x[cols].T
     i, j = np.nonzero(cos >= threshold - 1e-9)
     if same:
@@ -70,7 +73,9 @@ def links_of_block(x: np.ndarray, keys: np.ndarray, table: int, threshold: float
     exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
     i, j = i[exact], j[exact]
     if table and len(i):
-        first = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
+        own, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = keys_of(x[own])[:, :table]
+        first = ~(keys[at[: len(i)]] == keys[at[len(i) :]]).any(axis=1)
         i, j = i[first], j[first]
     return i, j
 
@@ -116,20 +121,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         order = np.lexsort([f[c].to_numpy() for c in ("cls", "own", "hi", "lo", "bucket", "tab", "label", "size")])
         f = f.iloc[order].reset_index(drop=True)
         first = kernels.runs(*(f[c].to_numpy() for c in (*place, "lo", "hi")))
-        cls, n, own, lo, hi, tab, v = (f[c].to_numpy() for c in ("cls", "n", "own", "lo", "hi", "tab", "v"))
+        cls, n, own, lo, hi, tab = (f[c].to_numpy() for c in ("cls", "n", "own", "lo", "hi", "tab"))
+        big, size = kernels.runs(f["size"].to_numpy()), f["size"].to_numpy()
+        units = [normalised(f["v"].iloc[a:b]) for a, b in zip(big, kernels.stops(big, len(f)), strict=True)]  # rows come by size
+        base = np.repeat(big, np.diff(big, append=len(f)))
+        unit = dict(zip(size[big].tolist(), units, strict=True))
+        keys_of = lambda x: table_keys(x, tables, hashes, width, seed)
         sums: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
         for a, b in zip(first, kernels.stops(first, len(f)), strict=True):
             k = b - a
             if k < 2:
                 continue
-            x, t, m = normalised(v[a:b]), int(tab[a]), n[a:b]
-            before = table_keys(x, tables, hashes, width, seed) if t else np.zeros((k, 0), np.int64)
+            x, t, m = unit[int(size[a])][a - base[a] : b - base[a]], int(tab[a]), n[a:b]
             if lo[a] == hi[a]:
-                i, j = links_of_block(x, before, t, threshold, slice(0, k), slice(0, k), True)
+                i, j = links_of_block(x, keys_of, t, threshold, slice(0, k), slice(0, k), True)
             else:
                 cut = int(np.searchsorted(own[a:b], hi[a]))
-                i, j = links_of_block(x, before, t, threshold, slice(0, cut), slice(cut, k), False)
+                i, j = links_of_block(x, keys_of, t, threshold, slice(0, cut), slice(cut, k), False)
             if not len(i):
                 continue
             more = np.bincount(i, weights=m[j], minlength=k) + np.bincount(j, weights=m[i], minlength=k)
