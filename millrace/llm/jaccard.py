@@ -1,20 +1,23 @@
 """Operator 6: n-gram Jaccard join by rare-first prefix filtering.
 
 A document's set holds the hashes of its distinct SHINGLE-word shingles (lower-cased A-Z; with fewer words, the
-whole sequence; without words, nothing). Documents with equal sets are one class and take part once. Shingles
-are ordered rare first, by counts from a sketch of fixed size over all documents. Two sets with similarity of
-at least NUM / DEN share a shingle among the first n - ceil(n * NUM / DEN) + 1 of both (prefix filter). What
-shares one passes the length filter and the positional filter, meets once as a pair, passes the suffix filter
-(bounds by parts of the hash range), and is verified on the whole sets.
-
-Only links that matter for connectivity are verified: a group that shares a prefix shingle proposes its pairs
-if it is small, else pairs with its hub and between neighbours in length, then a few pairs between the
-components that came of it. What is then still in different components is proposed pair by pair, so no link
-between components is lost. The sets of candidates are written once to the shared folder; verification reads
-a hub's set and its partners' by range, dealt over SALTS shares, so a hub of any degree is split.
-
-Null and empty texts have 0 shingles and link with nothing. Repeated rows are copies of each other. A null id
-is never a component's id unless all its documents' ids are null. Only the two named columns are read.
+whole sequence; without words, nothing). Documents with equal sets (by 128 bits of hash) are one class and take
+part once. Shingles are ordered rare first, by counts from a sketch of fixed size over all documents. Two sets
+with similarity of at least NUM / DEN share a shingle among the first n - ceil(n * NUM / DEN) + 1 of both (prefix
+filter). Classes that share one are a group. Its pairs pass the length filter and the positional filter, meet once
+as a pair, pass the suffix filter (bounds by parts of the hash range), and are verified on the whole sets, which
+are written once to the shared folder and read by range.
+
+A prefix shingle of more than HOT classes is hot. Tasks count their own entries by shingle first, so one shingle's
+counts are a row for each task; the sums go back to the tasks, and the entries of hot shingles are dealt over pairs
+of blocks of about HOT classes, each a task's work, so that no task holds a hot shingle. There whole blocks are
+intersected at once, and a pair is counted at its first common hot shingle; a pair that shares a hot shingle is
+left out elsewhere. So each link is verified once and counted once, and what a block gives is sums of links and
+a spanning forest, never its pairs.
+
+Null and empty texts have 0 shingles and link with nothing. Repeated rows are copies of each other and count as
+links. A null id is never a component's id unless all its documents' ids are null. An empty table gives an empty
+result. Only the two named columns are read, so other names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,10 +36,14 @@ from millrace.llm import common, kernels, storage
 SHINGLE = 5
 NUM, DEN = 4, 5
 SKETCH_BITS, RANGES = 20, 64
-SMALL = 8
+#: Classes of a shingle that meet in one task; those of more are dealt over pairs of blocks of about so many.
+HOT = 128
 SALTS = 64
+#: Candidate pairs that are held at once.
+PAIRS = 1 << 20
 U = np.uint64
-ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+ENTRY = np.dtype([("token", "<u8"), ("hi", "<i8"), ("lo", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+TALLY = np.dtype([("token", "<u8"), ("task", "<i8"), ("n", "<i8")])
 
 
 def shingle_sets(raw: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +63,13 @@ def shingle_sets(raw: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np
     return h[first], np.searchsorted(of[first], np.arange(len(raw) + 1))
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    both = np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), dtype="<i8")
+    return int(both[0]), int(both[1])
 
 
 def _sets(frames, width: int):
-    """(key, id or None, class, shingles) of the documents that have any."""
+    """(rows, shingles, offsets) of batches of documents."""
     for f in frames:
         raw = kernels.utf8(f["t"])
         for a, b in kernels.batches(raw):
@@ -87,40 +94,22 @@ def may_link(m, i, n, j):
     return (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)) & (np.minimum(m - i, n - j) >= overlap_needed(m, n))
 
 
-def propose(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of classes from entries sorted by token, n and class; and the entries of large groups."""
-    first = kernels.runs(entries["token"])
-    size = np.diff(first, append=len(entries))
-    a, b = [], []
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        x, y = entries[i], entries[j]
-        ok = may_link(x["n"].astype(np.int64), x["pos"].astype(np.int64), y["n"].astype(np.int64), y["pos"].astype(np.int64)) & (x["cls"] != y["cls"])
-        x, y = x["cls"][ok], y["cls"][ok]
-        a.append(np.minimum(x, y))
-        b.append(np.maximum(x, y))
-
-    for g in range(2, SMALL + 1):  # groups of one size at a time, all pairs
-        s = first[size == g]
-        for p in range(g):
-            for q in range(p + 1, g):
-                add(s + p, s + q)
-    large = np.flatnonzero(size > SMALL)
-    if len(large):
-        s, z = first[large], size[large]
-        rows = kernels.ranges(s, z)
-        of = np.repeat(np.arange(len(large)), z)
-        order = np.lexsort((entries["cls"][rows], of))
-        hub = rows[order][np.cumsum(z) - z]
-        add(np.repeat(hub, z), rows)
-        add(kernels.ranges(s, z - 1), kernels.ranges(s + 1, z - 1))
-        big = entries[rows]
-    else:
-        big = entries[:0]
-    if not a:
-        return np.zeros((0, 2), np.int64), big
-    pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1)
-    return np.unique(pairs, axis=0), big
+def propose(e: np.ndarray):
+    """Candidate pairs of the groups of entries that are sorted by token: (places of one side, of the other)."""
+    first = kernels.runs(e["token"])
+    size = np.diff(first, append=len(e))
+    last = np.repeat(first + size, size)
+    partners = last - np.arange(len(e)) - 1
+    ends = np.cumsum(partners)
+    a = 0
+    while a < len(e):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(a, b), partners[a:b])
+        j = kernels.ranges(np.arange(a, b) + 1, partners[a:b])
+        x, y = e[i], e[j]
+        ok = may_link(*(v.astype(np.int64) for v in (x["n"], x["pos"], y["n"], y["pos"])))
+        yield i[ok], j[ok]
+        a = b
 
 
 def suffix_filter(x: np.ndarray, y: np.ndarray, need: int, bits: int = 8) -> bool:
@@ -135,25 +124,71 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     if min(len(x), len(y)) < need or not suffix_filter(x, y, need):
         return False
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = int((y[at] == x).sum())
-    return DEN * both >= NUM * (len(x) + len(y) - both)
+    return int((y[at] == x).sum()) >= need
+
+
+class Rows:
+    """Some sorted arrays, by value: which of them hold each value."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.n = len(arrays)
+        value = np.concatenate(arrays) if arrays else np.zeros(0, U)
+        of = np.repeat(np.arange(self.n), [len(a) for a in arrays])
+        order = np.argsort(value, kind="stable")
+        value, self.of = value[order], of[order]
+        self.first = kernels.runs(value)
+        self.size, self.value = np.diff(self.first, append=len(value)), value[self.first]
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """For each array, how many values it has in common with x."""
+        if not len(self.value) or not len(x):
+            return np.zeros(self.n, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.value, x), len(self.value) - 1)
+        at = at[self.value[at] == x]
+        return np.bincount(self.of[kernels.ranges(self.first[at], self.size[at])], minlength=self.n)
+
+
+def links_of_blocks(token: int, hot_i: list[np.ndarray], n_i: np.ndarray, hot_j: list[np.ndarray], n_j: np.ndarray, get_i, get_j, same: bool):
+    """Links (row of i, rows of j) of two blocks that share a hot token and none before it. get: reads a set."""
+    before = lambda h: h[: np.searchsorted(h, token)]
+    earlier = Rows([before(h) for h in hot_j])
+    wanted = []
+    for i, h in enumerate(hot_i):
+        use = (DEN * np.minimum(n_i[i], n_j) >= NUM * np.maximum(n_i[i], n_j)) & (earlier.shared(before(h)) == 0)
+        if same:
+            use[: i + 1] = False
+        wanted.append(use)
+    any_j = np.flatnonzero(np.any(wanted, axis=0)) if wanted else np.zeros(0, int)
+    at, size = 0, np.cumsum(n_j[any_j])
+    while at < len(any_j):  # so many sets at once as fit the bound, or one
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIRS, side="right")))
+        some = any_j[at:stop]
+        rows = Rows([get_j(j) for j in some])
+        for i, use in enumerate(wanted):
+            if use[some].any():
+                good = use[some] & (rows.shared(get_i(i)) >= overlap_needed(n_i[i], n_j[some]))
+                if good.any():
+                    yield i, some[good]
+        at = stop
 
 
 def _sketch(base: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Members (id, key, n, cls), and document counts of shingles in 2 ** SKETCH_BITS counters."""
+    """Members (id, key, n, hi, lo), and document counts of shingles in 2 ** SKETCH_BITS counters."""
 
     def run(frames):
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for f, h, at in _sets(frames, width):
             counts += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             n = np.diff(at)
-            cls = [class_of(h[x:y]) if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pd.DataFrame({"id": common.texts(f["id"]), "key": f["key"].to_numpy(), "n": n.astype(np.int64), "cls": pd.array(cls, dtype="Int64"), "part": np.int32(-1), "blob": None})
+            cls = [class_of(h[x:y]) if y > x else (None, None) for x, y in zip(at[:-1], at[1:], strict=True)]
+            hi, lo = (pd.array([c[k] for c in cls], dtype="Int64") for k in (0, 1))
+            yield pd.DataFrame({"id": common.texts(f["id"]), "key": f["key"].to_numpy(), "n": n.astype(np.int64), "hi": hi, "lo": lo, "part": np.int32(-1), "blob": None})
         parts = counts.reshape(RANGES, -1)
         some = [r for r in range(RANGES) if parts[r].any()]
-        yield pd.DataFrame({"id": None, "key": 0, "n": 0, "cls": pd.array([None] * len(some), dtype="Int64"), "part": np.array(some, dtype=np.int32), "blob": [zlib.compress(parts[r].tobytes(), 1) for r in some]})
+        none = pd.array([None] * len(some), dtype="Int64")
+        yield pd.DataFrame({"id": None, "key": 0, "n": 0, "hi": none, "lo": none, "part": np.array(some, dtype=np.int32), "blob": [zlib.compress(parts[r].tobytes(), 1) for r in some]})
 
-    both = common.written(base.mapInPandas(run, "id string, key long, n long, cls long, part int, blob binary"), "jaccard-members")
+    both = common.written(base.mapInPandas(run, "id string, key long, n long, hi long, lo long, part int, blob binary"), "jaccard-members")
 
     def add(frames):
         sums: dict[int, np.ndarray] = {}
@@ -167,24 +202,124 @@ def _sketch(base: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     # The sketch has 2 ** SKETCH_BITS counters whatever the input: its size is a bound for what the driver gets and sends.
     for r in both.where("part >= 0").select("part", "blob").repartition(RANGES, "part").mapInPandas(add, "part int, blob binary").collect():
         total[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["blob"])), dtype=np.uint64)
-    return both.where("part < 0").select("id", "key", "n", "cls"), total.reshape(-1)
+    return both.where("part < 0").select("id", "key", "n", "hi", "lo"), total.reshape(-1)
+
+
+def _entries(base: DataFrame, sketch: np.ndarray, width: int) -> DataFrame:
+    """Rows (task, blob): the prefix entries of each batch of documents, a class once."""
+    counts = base.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(frames):
+        for _, h, at in _sets(frames, width):
+            n = np.diff(at)
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, counts.value[(h >> U(64 - SKETCH_BITS)).astype(np.int64)], of))
+            pos = np.arange(len(h)) - at[:-1][of]
+            cls = np.array([class_of(h[x:y]) if y > x else (0, 0) for x, y in zip(at[:-1], at[1:], strict=True)], dtype=np.int64).reshape(-1, 2)
+            new = np.zeros(len(n), dtype=bool)
+            new[np.unique(cls, axis=0, return_index=True)[1]] = True
+            use = (pos < prefix_length(n)[of]) & new[of]
+            e = np.empty(int(use.sum()), dtype=ENTRY)
+            e["token"], e["hi"], e["lo"], e["n"], e["pos"] = h[order][use], cls[of[use], 0], cls[of[use], 1], n[of[use]], pos[use]
+            yield pd.DataFrame({"task": [uuid.uuid4().int >> 65], "blob": [e.tobytes()]})
+
+    return common.written(base.select("t").mapInPandas(run, "task long, blob binary"), "jaccard-entries")
+
+
+def _hot(entries: DataFrame) -> DataFrame:
+    """Rows (task, hot): the tokens of a batch that more than HOT of all classes' entries have, and their blocks."""
+    n_parts = common.parts(entries.sparkSession)
+
+    def tally(frames):
+        for f in frames:
+            for task, blob in zip(f["task"], f["blob"], strict=True):
+                token, n = np.unique(np.frombuffer(blob, dtype=ENTRY)["token"], return_counts=True)
+                t = np.empty(len(token), dtype=TALLY)
+                t["token"], t["task"], t["n"] = token, task, n
+                yield common.deal(t, kernels.mix(token), 4 * n_parts)
+
+    def add(frames):
+        got = [np.frombuffer(b, dtype=TALLY) for f in frames for b in f["blob"]]
+        if not got:
+            return
+        t = np.concatenate(got)
+        del got
+        t = t[np.argsort(t["token"], kind="stable")]
+        first = kernels.runs(t["token"])
+        total = np.repeat(np.add.reduceat(t["n"], first), np.diff(first, append=len(t)))
+        t, total = t[total > HOT], total[total > HOT]
+        t["n"] = -(-total // HOT)
+        t = t[np.argsort(t["task"], kind="stable")]
+        first = kernels.runs(t["task"])
+        yield pd.DataFrame({"task": t["task"][first], "blob": [t[a:b].tobytes() for a, b in zip(first, kernels.stops(first, len(t)), strict=True)]})
+
+    sums = entries.mapInPandas(tally, "bucket int, blob binary").repartition(n_parts, "bucket").mapInPandas(add, "task long, blob binary")
+    return common.written(sums.groupBy("task").agg(F.collect_list("blob").alias("hot")), "jaccard-hot")
+
+
+def _met(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (a_hi, a_lo, b_hi, b_lo) of candidate pairs, and (a_hi, a_lo, token, blocks) of entries with hot tokens."""
+    n_parts = common.parts(entries.sparkSession)
+    pair = "a_hi long, a_lo long, b_hi long, b_lo long, token long, blocks int"
+
+    def split(frames):
+        for f in frames:
+            for blob, some in zip(f["blob"], f["hot"], strict=True):
+                e = np.frombuffer(blob, dtype=ENTRY)
+                t = np.concatenate([np.frombuffer(b, dtype=TALLY) for b in some]) if some is not None and len(some) else np.zeros(0, TALLY)
+                t = t[np.argsort(t["token"])]
+                at = np.minimum(np.searchsorted(t["token"], e["token"]), max(len(t) - 1, 0))
+                is_hot = t["token"][at] == e["token"] if len(t) else np.zeros(len(e), dtype=bool)
+                yield common.deal(e[~is_hot], kernels.mix(e["token"][~is_hot]), 4 * n_parts)
+                h, blocks = e[is_hot], t["n"][at[is_hot]] if len(t) else np.zeros(0, np.int64)
+                for a in range(0, len(h), 10_000):
+                    some_h = h[a : a + 10_000]
+                    rec = np.empty(len(some_h), dtype=[("hi", "<i8"), ("lo", "<i8"), ("token", "<u8"), ("blocks", "<i8")])
+                    rec["hi"], rec["lo"], rec["token"], rec["blocks"] = some_h["hi"], some_h["lo"], some_h["token"], blocks[a : a + 10_000]
+                    out = common.deal(rec, kernels.mix(rec["lo"].view(U)), 4 * n_parts)
+                    out["bucket"] = -1 - out["bucket"]
+                    yield out
+
+    def meet(frames):
+        got = []
+        for f in frames:
+            ask = f["bucket"] >= 0
+            got += [np.frombuffer(b, dtype=ENTRY) for b in f["blob"][ask]]
+            for b in f["blob"][~ask]:
+                r = np.frombuffer(b, dtype=[("hi", "<i8"), ("lo", "<i8"), ("token", "<u8"), ("blocks", "<i8")])
+                yield pd.DataFrame({"a_hi": r["hi"], "a_lo": r["lo"], "b_hi": 0, "b_lo": 0, "token": r["token"].view(np.int64), "blocks": r["blocks"].astype(np.int32)})
+        if not got:
+            return
+        e = np.concatenate(got)
+        del got
+        e = e[np.lexsort((e["lo"], e["hi"], e["token"]))]
+        e = e[kernels.runs(e["token"], e["hi"], e["lo"])]  # a class that several batches have sent
+        for i, j in propose(e):
+            x, y = e[i], e[j]
+            p = np.stack([x["hi"], x["lo"], y["hi"], y["lo"]], axis=1)
+            p = p[np.lexsort(p.T[::-1])]
+            p = p[kernels.runs(*p.T)]
+            yield pd.DataFrame({"a_hi": p[:, 0], "a_lo": p[:, 1], "b_hi": p[:, 2], "b_lo": p[:, 3], "token": 0, "blocks": np.int32(0)})
+
+    rows = entries.join(hot, "task", "left").select("blob", "hot").mapInPandas(split, "bucket int, blob binary")
+    return common.written(rows.repartition(n_parts, "bucket").mapInPandas(meet, pair), "jaccard-met")
 
 
 def _stored(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Write the sets of the wanted classes (cls, key) to the shared folder; rows (cls, file, offset, size)."""
+    """Write the sets of the wanted classes (cls, hi, lo, key) to the shared folder; rows (cls, file, offset, size)."""
     folder = common.fresh(base.sparkSession, "jaccard-sets")
     rows = base.select("key", "t").join(wanted.hint("merge"), "key")  # alike at every size
 
     def run(frames):
         out = None
         for f in frames:
-            raw, cls, got = kernels.utf8(f["t"]), f["cls"].to_numpy(), []
-            for x, y in kernels.batches(raw):
-                h, at = shingle_sets(raw[x:y], width)
-                for i in range(y - x):
-                    out = out or storage.Writer(folder, uuid.uuid4().hex)
-                    blob = h[at[i] : at[i + 1]].tobytes()
-                    got.append((cls[x + i], out.uri, out.write(blob), len(blob)))
+            got = []
+            for g, h, at in _sets([f], width):
+                for cls, hi, lo, x, y in zip(g["cls"], g["hi"], g["lo"], at[:-1], at[1:], strict=True):
+                    if class_of(h[x:y]) == (hi, lo):  # not another row with that key
+                        out = out or storage.Writer(folder, uuid.uuid4().hex)
+                        blob = h[x:y].tobytes()
+                        got.append((cls, out.uri, out.write(blob), len(blob)))
             yield pd.DataFrame(got, columns=["cls", "file", "offset", "size"])
         if out:
             out.close()
@@ -193,146 +328,148 @@ def _stored(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return common.written(common.written(sets, "jaccard-stored").dropDuplicates(["cls"]), "jaccard-sets-index")
 
 
+class _Found:
+    """Sums of links of classes, and edges that connect what is linked."""
+
+    def __init__(self):
+        self.sums: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def count(self, cls: int, n: int) -> None:
+        self.sums[cls] = self.sums.get(cls, 0) + int(n)
+
+    def frames(self):
+        yield pd.DataFrame({"a": pd.array(list(self.sums), dtype="Int64"), "b": pd.array([None] * len(self.sums), dtype="Int64"), "s": np.array(list(self.sums.values()), dtype=np.int64)})
+        yield pd.DataFrame({"a": pd.array([e[0] for e in self.edges], dtype="Int64"), "b": pd.array([e[1] for e in self.edges], dtype="Int64"), "s": np.zeros(len(self.edges), dtype=np.int64)})
+        self.__init__()
+
+
+FOUND = "a long, b long, s long"
+PLACE = ("docs", "file", "offset", "size", "hot")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. A hub's set is read once for each share of its partners."""
+    """Links of pairs (a, b) that share no hot token. A set with many partners is read once for each share of them."""
     n = common.parts(pairs.sparkSession)
-    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("file", "offset", "size")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in PLACE))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("NOT arrays_overlap(a_hot, b_hot)").drop("a_hot", "b_hot")
+    both = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
 
     def verify(frames):
-        reader, hub, own = storage.Reader(64), None, None
+        reader, last, own = storage.Reader(64), None, None
         get = lambda *where: np.frombuffer(reader.read(*where), dtype=U)
         for f in frames:
-            good = []
-            for a, b, af, ao, az, bf, bo, bz in f[["a", "b", "a_file", "a_offset", "a_size", "b_file", "b_offset", "b_size"]].itertuples(index=False):
-                need = overlap_needed(az // 8, bz // 8)
-                if min(az, bz) < 8 * need:
+            found = _Found()
+            for a, b, ad, af, ao, az, bd, bf, bo, bz in f[["a", "b", *(f"{c}_{x}" for c in "ab" for x in PLACE[:4])]].itertuples(index=False):
+                if min(az, bz) < 8 * overlap_needed(az // 8, bz // 8):
                     continue
-                if hub != a:
-                    hub, own = a, get(af, ao, az)
+                if last != a:
+                    last, own = a, get(af, ao, az)
                 if linked(own, get(bf, bo, bz)):
-                    good.append((a, b))
-            yield pd.DataFrame(good, columns=["a", "b"], dtype=np.int64)
+                    found.count(a, bd)
+                    found.count(b, ad)
+                    found.edges.append((a, b))
+            yield from found.frames()
         reader.close()
 
-    return both.repartition(n, "a", "s").sortWithinPartitions("a").mapInPandas(verify, "a long, b long")
-
-
-def _groups(frames):
-    """Large groups by token: (entries sorted by token and hash of the class, components, bounds of the groups)."""
-    got = list(frames)
-    if not got:
-        return None
-    f = pd.concat(got, ignore_index=True)
-    e = np.empty(len(f), dtype=ENTRY)
-    e["token"], e["cls"], e["n"], e["pos"] = f["token"].to_numpy(np.int64).view(U), f["cls"], f["n"], f["pos"]
-    order = np.lexsort((kernels.mix(e["cls"].view(U)), e["token"]))
-    return e[order], f["comp"].to_numpy(np.int64)[order], kernels.runs(e["token"][order])
+    return both.repartition(n, "a", "s").sortWithinPartitions("a").mapInPandas(verify, FOUND)
 
 
-def _pairs(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-    x, y = e[i], e[j]
-    ok = may_link(x["n"].astype(np.int64), x["pos"].astype(np.int64), y["n"].astype(np.int64), y["pos"].astype(np.int64))
-    x, y = x["cls"][ok], y["cls"][ok]
-    return pd.DataFrame(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0), columns=["a", "b"])
+def _blocks(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of classes (cls, token, blocks) that share a hot token, block by block."""
+    n = common.parts(hot.sparkSession)
+    rows = hot.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cls", "token", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets.select("cls", *PLACE), "cls")
+    rows = rows.withColumn("work", F.xxhash64("token", "lo", "hi")).repartition(n, "work").sortWithinPartitions("token", "lo", "hi", "own", "cls").drop("work")
 
+    def groups(frames):
+        """The rows of one work at a time."""
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            first = kernels.runs(*(f[c].to_numpy() for c in ("token", "lo", "hi")))
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                yield f.iloc[a:b]
+            rest = f.iloc[first[-1] :] if len(first) else None
+        if rest is not None and len(rest):
+            yield rest
+
+    def compare(frames):
+        reader = storage.Reader(64)
+        for g in groups(frames):
+            if len(g) < 2:
+                continue
+            cls, docs, own = (g[c].to_numpy() for c in ("cls", "docs", "own"))
+            n, token = g["size"].to_numpy() // 8, g["token"].iloc[0].astype(np.int64).view(U)
+            lists = [np.sort(np.asarray(h, dtype=np.int64).view(U)) for h in g["hot"]]
+            where, held = g[["file", "offset", "size"]].to_numpy(), {}
+
+            def get(i: int) -> np.ndarray:
+                if i not in held:
+                    if sum(map(len, held.values())) > PAIRS:
+                        held.clear()
+                    held[i] = np.frombuffer(reader.read(*where[i]), dtype=U)
+                return held[i]
+
+            same = bool(g["lo"].iloc[0] == g["hi"].iloc[0])
+            cut = 0 if same else int(np.searchsorted(own, g["hi"].iloc[0]))
+            stop = len(g) if same else cut
+            found, forest = _Found(), common.Forest(len(g))
+            for i, some in links_of_blocks(token, lists[:stop], n[:stop], lists[cut:], n[cut:], get, lambda j: get(cut + j), same):  # noqa: B023
+                some = some + cut
+                found.count(cls[i], docs[some].sum())
+                for j in some.tolist():
+                    found.count(cls[j], docs[i])
+                    if forest.join(i, j):
+                        found.edges.append((cls[i], cls[j]))
+            yield from found.frames()
+        reader.close()
 
-def some_across(frames, distances: tuple[int, ...]):
-    """Pairs of different components at a few distances in the order of the classes' hashes, the same for all tokens."""
-    if (got := _groups(frames)) is None:
-        return
-    e, comp, first = got
-    size = np.diff(first, append=len(e))
-    base, many = np.repeat(first, size), np.repeat(size, size)
-    i = np.arange(len(e))
-    for d in distances:
-        j = base + (i - base + d) % many
-        use = (comp[i] != comp[j]) & (d < many)
-        yield _pairs(e, i[use], j[use])
-
-
-def all_across(frames):
-    """All pairs of different components."""
-    if (got := _groups(frames)) is None:
-        return
-    e, comp, first = got
-    for a, b in zip(first, kernels.stops(first, len(e)), strict=True):
-        c = comp[a:b]
-        if (c == c[0]).all():
-            continue
-        for k in range(b - a - 1):
-            j = np.flatnonzero(c[k + 1 :] != c[k]) + a + k + 1
-            if len(j):
-                yield _pairs(e, np.full(len(j), a + k), j)
+    return rows.mapInPandas(compare, FOUND)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """Members (id, key, n, cls), one for each document, and classes (cls, comp, component_id)."""
-    spark = docs.sparkSession
-    n_parts = common.parts(spark)
-    base = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    """Members (id, key, n, hi, lo), one for each document, and classes (hi, lo, comp, component_id, n_links)."""
+    # Texts without words share no key, however many are alike.
+    key = F.when(F.coalesce(F.trim(F.col(text_col)), F.lit("")) == "", F.xxhash64(F.monotonically_increasing_id(), F.lit("empty"))).otherwise(F.xxhash64(F.col(id_col), F.col(text_col)))
+    base = docs.select(F.col(id_col).cast("string").alias("id"), key.alias("key"), F.col(text_col).alias("t"))
     members, sketch = _sketch(base, width)
     members = members.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
-    counts = spark.sparkContext.broadcast(sketch)
-
-    def prefixes(frames):
-        seen: set[int] = set()
-        for _, h, at in _sets(frames, width):
-            n = np.diff(at)
-            of = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, counts.value[(h >> U(64 - SKETCH_BITS)).astype(np.int64)], of))
-            pos = np.arange(len(h)) - at[:-1][of]
-            cls = np.array([class_of(h[x:y]) if y > x else 0 for x, y in zip(at[:-1], at[1:], strict=True)], dtype=np.int64)
-            new = np.array([not (k in seen or seen.add(k)) for k in cls.tolist()], dtype=bool)
-            if len(seen) > 200_000:
-                seen.clear()
-            use = (pos < prefix_length(n)[of]) & new[of]
-            out = np.empty(int(use.sum()), dtype=ENTRY)
-            out["token"], out["cls"], out["n"], out["pos"] = h[order][use], cls[of[use]], n[of[use]], pos[use]
-            yield common.deal(out, kernels.mix(out["token"]), 4 * n_parts)
-
-    def meet(frames):
-        got = [np.frombuffer(b, dtype=ENTRY) for f in frames for b in f["blob"]]
-        if not got:
-            return
-        e = np.concatenate(got)
-        del got
-        e = e[np.lexsort((e["cls"], e["n"], e["token"]))]
-        e = e[kernels.runs(e["token"], e["n"], e["cls"])]  # a class that several tasks have sent
-        pairs, big = propose(e)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "token": 0, "n": 0, "pos": 0, "kind": 0})
-        yield pd.DataFrame({"a": big["cls"], "b": 0, "token": big["token"].view(np.int64), "n": big["n"].astype(np.int64), "pos": big["pos"].astype(np.int64), "kind": 1})
-
-    met = base.mapInPandas(prefixes, "bucket int, blob binary").repartition(n_parts, "bucket").mapInPandas(meet, "a long, b long, token long, n long, pos long, kind int")
-    met = common.written(met, "jaccard-met")
-    reps = common.written(members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("first"), F.min("key").alias("key")), "jaccard-classes")
-    pairs = common.written(met.where("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
-    big = met.where("kind = 1").select(F.col("a").alias("cls"), "token", "n", "pos")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(big.select("cls")).distinct()
-    sets = _stored(base, common.written(used.join(reps, "cls").select("key", "cls"), "jaccard-wanted"), width)
-    edges = common.written(_verified(pairs, sets), "jaccard-links")
-    comps = common.components(edges)
-    large = not big.isEmpty()
-    for search in (partial(some_across, distances=(1, 2, 4, 8, 16, 32)), partial(some_across, distances=(3, 5, 11, 23, 47, 95)), all_across) if large else ():
-        # What is still apart and may link: first a few pairs of each group, in the end every pair.
-        labelled = big.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "token", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-        more = labelled.repartition(n_parts, "token").mapInPandas(search, "a long, b long").distinct()
-        more = common.written(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more-pairs")
-        found = common.written(_verified(more, sets), "jaccard-links")
-        if found.isEmpty():
-            continue
-        pairs, edges = pairs.unionByName(more), edges.unionByName(found)
-        comps = common.components(edges)
-    info = reps.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("comp"))
+    classes = members.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.count(F.lit(1)).alias("docs"))
+    classes = common.written(classes.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+
+    entries = _entries(base, sketch, width)
+    met = _met(entries, _hot(entries))
+    name = lambda c: classes.select(F.col("hi").alias(f"{c}_hi"), F.col("lo").alias(f"{c}_lo"), F.col("cls").alias(c))
+    pairs = met.where("blocks = 0").select("a_hi", "a_lo", "b_hi", "b_lo").distinct().join(name("a"), ["a_hi", "a_lo"]).join(name("b"), ["b_hi", "b_lo"])
+    pairs = common.written(pairs.select("a", "b"), "jaccard-pairs")
+    hot = met.where("blocks > 0").select("a_hi", "a_lo", "token").distinct().join(name("a"), ["a_hi", "a_lo"])
+    hot = common.written(hot.select(F.col("a").alias("cls"), "token"), "jaccard-hot-entries")
+    # Batches have counted their classes, copies in other batches too; blocks follow the classes that there are.
+    blocks = hot.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
+    hot = common.written(hot.join(blocks, "token"), "jaccard-hot-blocks")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
+    wanted = common.written(wanted.join(classes.select("cls", "hi", "lo", "key", "docs"), "cls"), "jaccard-wanted")
+    lists = hot.groupBy("cls").agg(F.collect_list("token").alias("hot"))  # at most a prefix for each class
+    sets = _stored(base, wanted.select("cls", "hi", "lo", "key"), width).join(wanted.select("cls", "docs"), "cls").join(lists, "cls", "left")
+    sets = common.written(sets.withColumn("hot", F.coalesce("hot", F.array().cast("array<long>"))), "jaccard-sets")
+
+    links = common.written(_verified(pairs, sets).unionByName(_blocks(hot, sets)), "jaccard-links")
+    comps = common.components(links.where("b IS NOT NULL").select("a", "b"))
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("s").alias("s"))
+    info = classes.join(comps.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left")
+    info = common.written(info.select("hi", "lo", "first", F.coalesce("component", "cls").alias("comp"), (F.col("docs") - 1 + F.coalesce("s", F.lit(0))).alias("n_links")), "jaccard-info")
     lowest = info.groupBy("comp").agg(F.min("first").alias("component_id"))
-    return members, info.join(lowest, "comp").select("cls", "comp", "component_id")
+    return members, info.join(lowest, "comp").select("hi", "lo", "comp", "component_id", "n_links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """Rows (id, n_shingles, component_id), one for each document."""
+    """Rows (id, n_shingles, component_id, n_links), one for each document; n_links counts other documents."""
     members, info = _classes(docs, id_col, text_col, width)
-    out = members.join(common.written(info.select("cls", "component_id"), "jaccard-info"), "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = members.join(common.written(info, "jaccard-result"), ["hi", "lo"], "left")
+    own = F.when(F.col("hi").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,21 +477,42 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows are told apart by id and a hash of id and text, so null and repeated ids are no exception: of several rows
     with a component's smallest id that with the smallest hash stays. Documents without words are alone in their
-    component and stay.
+    component and stay. The documents' columns travel as one struct, so their names can't clash.
     """
-    members, info = _classes(docs, id_col, text_col, SHINGLE)
-    low = members.join(common.written(info, "jaccard-info"), "cls", "left").where(F.col("cls").isNull() | F.col("id").eqNullSafe(F.col("component_id")))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    words = F.coalesce(F.col(f"doc.{text_col}"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    members, info = _classes(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, SHINGLE)
+    # The rows with words; of those without, each is its own component, and repeated rows are one.
+    low = members.where("hi IS NOT NULL").join(common.written(info, "jaccard-result"), ["hi", "lo"]).where("id <=> component_id")
     rows = low.groupBy("comp", "id", "key").agg(F.count(F.lit(1)).alias("n"))
-    alone = F.when(F.col("comp").isNull(), F.col("key")).alias("alone")  # without words each row is its own component
-    firsts = rows.groupBy("comp", "id", alone).agg(F.min("key").alias("__first_key"), F.min_by("n", "key").alias("__n"))
-    firsts = common.written(firsts.select(F.col("id").alias("__first"), "__first_key", "__n"), "jaccard-kept")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    same = (F.col("__key") == F.col("__first_key")) & F.col(id_col).eqNullSafe(F.col("__first"))
-    of = lambda which: keyed.join(firsts.where(which).hint("merge"), same, "left_semi")
-    kept, again = of("__n = 1"), "__n > 1"  # rows that are repeated, if there are any
-    kept = kept if firsts.where(again).isEmpty() else kept.unionByName(of(again).dropDuplicates([id_col, "__key"]))
-    return kept.drop("__key")
+    firsts = rows.groupBy("comp", "id").agg(F.min("key").alias("key"), F.min_by("n", "key").alias("n"))
+    firsts = common.written(firsts.select(F.col("id").alias("f_id"), F.col("key").alias("f_key"), "n"), "jaccard-kept")
+    same = (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id"))
+    of = lambda which: keyed.where(words).join(firsts.where(which).hint("merge"), same, "left_semi")
+    kept, again = of("n = 1"), "n > 1"  # rows that are repeated, if there are any
+    kept = kept if firsts.where(again).isEmpty() else kept.unionByName(of(again).dropDuplicates(["id", "key"]))
+    bare = keyed.where(~words)
+    twice = common.written(bare.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-bare")
+    if not twice.isEmpty():
+        bare = bare.dropDuplicates(["id", "key"])
+    return kept.unionByName(bare).select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, by the sizes of intersection and union; components by the smallest id along links.
+ORACLE_OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS m, b.n AS n, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT x, y FROM p WHERE 100 * k >= 80 * (m + n - k)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x),
+d AS (SELECT x, count(*) AS k FROM e GROUP BY x)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id, coalesce(d.k, 0) AS n_links
+FROM s LEFT JOIN c ON c.x = s.doc_id LEFT JOIN d ON d.x = s.doc_id
+"""
