@@ -192,3 +192,15 @@ def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+#: Every window of 50 words beside the smallest id that has it; a word goes if one of the 50 windows over it does.
+ORACLE_OP10 = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS hit FROM s),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT x.doc_id, x.word, x.i, coalesce(max(CASE WHEN f.hit THEN 1 ELSE 0 END) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.i = x.i),
+k AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""

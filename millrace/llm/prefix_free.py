@@ -233,3 +233,19 @@ def op3_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Every window of 400 bytes, as hexadecimal digits; a byte goes if a window over it stands twice anywhere.
+ORACLE_OP3 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, x, unnest(range(0, greatest(octet_length(encode(x)) // 2 - 399, 0), 1000)) AS pos FROM b),
+p AS (SELECT doc_id, pos, substr(x, CAST(2 * pos + 1 AS INTEGER), 2798) AS x FROM c),
+s AS (SELECT doc_id, pos + i AS i, md5(substr(x, CAST(2 * i + 1 AS INTEGER), 800)) AS h FROM (SELECT doc_id, pos, x, unnest(range(0, least(1000, len(x) // 2 - 399))) AS i FROM p)),
+f AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY h) > 1),
+t AS (SELECT doc_id, unnest(range(0, len(x) // 2, 1000)) AS pos, x FROM b),
+y AS (SELECT doc_id, pos + i AS i, substr(z, CAST(2 * i + 1 AS INTEGER), 2) AS byte FROM (SELECT doc_id, pos, z, unnest(range(0, len(z) // 2)) AS i FROM (SELECT doc_id, pos, substr(x, CAST(2 * pos + 1 AS INTEGER), 2000) AS z FROM t))),
+g AS (SELECT y.doc_id, y.i, y.byte, coalesce(max(CASE WHEN f.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY y.doc_id ORDER BY y.i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM y LEFT JOIN f ON f.doc_id = y.doc_id AND f.i = y.i),
+e AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM g),
+k AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT b.doc_id, len(b.x) // 2 AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM b LEFT JOIN k ON k.doc_id = b.doc_id
+"""
