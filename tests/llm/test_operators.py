@@ -195,14 +195,18 @@ def brute_jaccard(rows):
     for c, (k, _) in zip(comp, rows, strict=True):
         if k is not None:
             low[c] = min(low.get(c, k), k)
-    return [(k, len(s), low.get(c, k)) for (k, _), s, c in zip(rows, sets, comp, strict=True)]
+    n = [0] * len(rows)
+    for link in links:
+        for i in link:
+            n[i] += 1
+    return [(k, len(s), low.get(c, k), m) for (k, _), s, c, m in zip(rows, sets, comp, n, strict=True)]
 
 
 def test_jaccard(docs, empty):
     assert rows_of(jaccard.jaccard_components(docs)) == sorted(brute_jaccard(DOCS), key=str)
     assert jaccard.jaccard_components(empty).count() == 0
     kept = jaccard.keep_one(docs)
-    want = {(k, low) for k, _, low in brute_jaccard(DOCS)}
+    want = {(k, low) for k, _, low, _ in brute_jaccard(DOCS)}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(k) for k, low in want if k == low})
     assert kept.columns == docs.columns
 
@@ -217,7 +221,11 @@ def test_jaccard_keeps_by_row(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_jaccard_large_group(spark):
+@pytest.mark.parametrize("hot", [4, 16, 128])
+def test_jaccard_large_group(spark, monkeypatch, hot):
+    """Shingles of more classes than a block are dealt over pairs of blocks; nothing depends on the bound."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "PAIRS", 2000)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -226,7 +234,8 @@ def test_jaccard_large_group(spark):
         for _ in range(rnd.randint(0, 4)):
             w[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows += [(100 + i, rows[i % 7][1]) for i in range(20)] + [(200 + i, " ".join(base[:60]) + f" y{i} z{i} " + " ".join(f"v{i}.{j}" for j in range(40))) for i in range(30)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     assert rows_of(got) == sorted(brute_jaccard(rows), key=str)
 
 

@@ -16,7 +16,7 @@ def test_stages(spark, sf_dir):
         if name != "pack":
             assert docs.columns == columns
     first = [(r.doc_id, r.text) for r in seen["quality_classifier"].collect()]
-    want = sorted(k for k, _, low in brute.brute_jaccard(first) if k == low)
+    want = sorted(k for k, _, low, _ in brute.brute_jaccard(first) if k == low)
     second = sorted((r.doc_id, r.text) for r in seen["near_duplicates"].collect())
     assert [k for k, _ in second] == want
     low, kept = {}, {}
