@@ -221,10 +221,11 @@ def test_jaccard_keeps_by_row(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("hot", [4, 16, 128])
-def test_jaccard_large_group(spark, monkeypatch, hot):
-    """Shingles of more classes than a block are dealt over pairs of blocks; nothing depends on the bound."""
-    monkeypatch.setattr(jaccard, "HOT", hot)
+@pytest.mark.parametrize(("hot", "block"), [(4, 8), (0, 512), (32, 512), (500, 512)])
+def test_jaccard_large_group(spark, monkeypatch, hot, block):
+    """Shingles of many classes are dealt over pairs of blocks; nothing depends on the bounds."""
+    for name, value in (("HOT", hot), ("SEEN", hot), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
     monkeypatch.setattr(jaccard, "PAIRS", 2000)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(120)]
@@ -482,6 +483,14 @@ def test_thresholds_are_ordered():
     assert (((tail > 0.5).sum(axis=1)) == grade).mean() > 0.95
 
 
+def test_bitset(spark):
+    token = np.random.Generator(np.random.PCG64(3)).integers(0, 2**63, 5000).astype(np.uint64)
+    some = token[:2000]
+    bits = common.bitset(spark.createDataFrame([(int(b),) for b in common.bit_of(some)], "bit long").repartition(4))
+    assert common.in_set(bits, some).all() and common.in_set(bits, token).sum() < 2010
+    assert not common.in_set(common.bitset(spark.createDataFrame([], "bit long")), token).any()
+
+
 def test_kernels():
     a = np.array([5, 3, 8, 1, 9, 2], dtype=np.uint64)
     for k in range(1, 7):
