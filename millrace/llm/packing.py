@@ -5,7 +5,9 @@ planned on the histogram of piece lengths (at most `capacity` numbers, however m
 pieces above a third of the capacity go at most two to a bin, matched greedily, the longest with the longest
 that fits; all smaller pieces then go, longest first, into the bins whose remaining gap fits them best, and
 into new bins when no gap does. The plan is a bounded list of runs of equal bins. A piece finds its bin by
-its rank among the pieces of its length; ranks come from counts by task, so no window holds all pieces.
+its rank among the pieces of its length. For that the pieces, small rows, are dealt by ranges of length and place of
+origin: a partition holds few lengths, so that the counts by partition and length, which give the ranks' offsets,
+are at most as many as partitions and lengths together, however many pieces or tasks there are.
 
 Null and empty texts are one piece that holds END only. Repeated rows are packed each. Only the two named
 columns are read.
@@ -21,6 +23,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,10 @@ PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\t-\r \x8
 OTHER = re.compile("[^\x00-\xff]")
 
 
+#: Texts whose ids are compared with the library's when a model is loaded: a model with other rules raises.
+PROBES = ("Hello WORLD, it's 1234.", " two  blanks\nand\ta tab ", "½ é e\u0301 ﬁ 漢字 😀 \x85\xa0", "<|endoftext|> <| x", "don't we'll 've 3.14%")
+
+
 class WordIds:
     """Ids of whole texts by the library, which encodes each distinct pre-token once.
 
@@ -55,6 +62,8 @@ class WordIds:
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True  # the last id of a pre-token
+        if self.encode(list(PROBES)) != self.library(list(PROBES)):
+            raise ValueError(f"{path} cuts texts in another way than this module")
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,22 +97,24 @@ class WordIds:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids, without END."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        """Little-endian unsigned 32-bit ids, without END. Each distinct word of the batch is looked up once."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        kind, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        get = self.words.get
-        ids = [list(map(get, w)) for w in words]
-        gaps = [i for i, x in enumerate(ids) if None in x]
-        new = list({w for i in gaps for w, x in zip(words[i], ids[i], strict=True) if x is None})
-        self.words.update(zip(new, self.encode_words(new), strict=True))
-        for i in gaps:
-            ids[i] = map(get, words[i])
-        out = list(map(b"".join, ids))
-        for w in new:
-            if len(w) > 64:
-                del self.words[w]
-        return out
+        ids = list(map(self.words.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        new = [words[i] for i in gaps]
+        for i, w, x in zip(gaps, new, self.encode_words(new), strict=True):
+            ids[i] = x
+            if len(w) <= 64:
+                self.words[w] = x
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first, every = np.cumsum(size) - size, np.frombuffer(b"".join(ids), dtype="<u4")
+        out = every[kernels.ranges(first[kind], size[kind])]
+        end = np.concatenate([[0], np.cumsum(size[kind])])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [out[i:j].tobytes() for i, j in zip(end[:-1], end[1:], strict=True)]
 
 
 _models: dict[str, WordIds] = {}
@@ -125,7 +136,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for f in frames:
             texts = [t if t is not None else "" for t in f.column(1).to_pylist()]
             raw = [t.encode() for t in texts]
-            for a, b in kernels.batches(raw):
+            for a, b in kernels.batches(raw, common.BATCH_BYTES):  # the larger, the fewer words are looked up
                 of, piece, start, length, check, ids = [], [], [], [], [], []
                 name = [hashlib.blake2b(x, digest_size=16).digest() for x in raw[a:b]]
                 if len(done) > 200_000:
@@ -255,41 +266,56 @@ def slots(bins: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tuple[int
     return out
 
 
+def _ranked(pieces: DataFrame, capacity: int) -> DataFrame:
+    """The pieces with their range partition (part) and their place among its pieces of their length."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", place long"
+
+    def count(batches):
+        seen = np.zeros(capacity + 1, dtype=np.int64)
+        for b in batches:
+            length = b.column("length").to_numpy()
+            first = kernels.runs(length)  # a partition's rows come sorted by length
+            size = np.diff(first, append=len(length))
+            place = np.arange(len(length)) - np.repeat(first, size) + np.repeat(seen[length[first]], size)
+            seen[length[first]] += size
+            yield b.append_column("place", pa.array(place))
+
+    order = ["length", "task", "rank"]
+    ranges = pieces.repartitionByRange(common.parts(pieces.sparkSession), *order).sortWithinPartitions(*order)
+    return common.written(ranges.mapInArrow(count, schema).withColumn("part", F.spark_partition_id()), "pieces-ranked")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset. `pieces` must be a written table: its rows are read more than once."""
     spark = pieces.sparkSession
-    counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = common.written(counts, "piece-counts")
+    pieces = _ranked(pieces, capacity)
+    counts = common.written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = np.array(sorted(slots(plan(totals, capacity))) or np.zeros((0, 6)), dtype=np.int64)
     sent = spark.sparkContext.broadcast(table)  # bounded: the slots of a plan over at most `capacity` lengths
-    before = common.written(_before(counts), "piece-ranks")
-    # A task's counts by length are one row each; they meet the task's pieces by (task, length).
-    ready = pieces.join(before, ["task", "length"])
+    ready = pieces.join(F.broadcast(_before(counts)), ["part", "length"])  # at most as many rows as partitions and lengths
     cols = ["k", "piece", "start", "length", "ids_crc32"] + (["ids"] if "ids" in pieces.columns else [])
     schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in cols) + ", sequence_id long, offset long"
 
-    def place(frames):
+    def place(batches):
         t = sent.value
         first = t[:, 0] << 40 | t[:, 1]
-        for f in frames:
-            length = f["length"].to_numpy(np.int64)
-            rank = (f["first"] + f["rank"]).to_numpy(np.int64)
+        for b in batches:
+            length, rank = b.column("length").to_numpy(), b.column("first").to_numpy() + b.column("place").to_numpy()
             at = t[np.searchsorted(first, length << 40 | rank, side="right") - 1]
             within = rank - at[:, 1]
-            out = f[cols].copy()
-            out["sequence_id"], out["offset"] = at[:, 3] + within // at[:, 4], at[:, 5] + within % at[:, 4] * length
-            yield out
+            where = [pa.array(at[:, 3] + within // at[:, 4]), pa.array(at[:, 5] + within % at[:, 4] * length)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *where], names=[*cols, "sequence_id", "offset"])
 
-    return ready.mapInPandas(place, schema)
+    return ready.mapInArrow(place, schema)
 
 
 def _before(counts: DataFrame) -> DataFrame:
-    """For each task and length, how many pieces of the length tasks before it have."""
+    """For each partition and length, how many pieces of the length partitions before it have."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("task", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
+    w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("part", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, model: str | None = None) -> DataFrame:
