@@ -120,23 +120,32 @@ class RankMerger:
 
     def together(self, hits: np.ndarray, low: np.ndarray, seq: np.ndarray, sym: np.ndarray, into: np.ndarray) -> np.ndarray:
         """Of the places of lowest rank, those that can be merged in one step as if from left to right."""
+        if len(hits) == len(low):
+            return hits  # one place in each sequence
         first = np.ones(len(hits), dtype=bool)
         first[1:] = hits[1:] != hits[:-1] + 1
         begin = np.flatnonzero(first)
         hits = hits[(np.arange(len(hits)) - np.repeat(begin, np.diff(begin, append=len(hits)))) % 2 == 0]
-        made, of = into[hits], seq[hits]
-        left, right = np.maximum(hits - 1, 0), np.minimum(hits + 2, len(seq) - 1)
-        before = np.where((hits > 0) & (seq[left] == of), sym[left], -1)
-        near = np.flatnonzero(hits[1:] == hits[:-1] + 2) + 1  # the symbol before is one that this step has made
+        of = seq[hits]
+        run = kernels.runs(of)
+        times = np.diff(run, append=len(of))
+        many = np.repeat(times > 1, times)  # only where a sequence has several places can one be too early
+        at, of = hits[many], of[many]
+        made = into[at]
+        left, right = np.maximum(at - 1, 0), np.minimum(at + 2, len(seq) - 1)
+        before = np.where((at > 0) & (seq[left] == of), sym[left], -1)
+        near = np.flatnonzero(at[1:] == at[:-1] + 2) + 1  # the symbol before is one that this step has made
         near = near[of[near] == of[near - 1]]
         before[near] = made[near - 1]
-        after = np.where((hits + 2 < len(seq)) & (seq[right] == of), sym[right], -1)
+        after = np.where((at + 2 < len(seq)) & (seq[right] == of), sym[right], -1)
         stop = np.minimum(self.ranks(before, made)[0], self.ranks(made, after)[0]) <= low[of]
         if not stop.any():
             return hits
         stopped = np.cumsum(stop) - stop
         run = kernels.runs(of)
-        return hits[stopped == np.repeat(stopped[run], np.diff(run, append=len(of)))]
+        keep = np.ones(len(hits), dtype=bool)
+        keep[many] = stopped == np.repeat(stopped[run], np.diff(run, append=len(of)))
+        return hits[keep]
 
     def grouped(self, seqs: list[str]):
         """Groups of sequences of like length."""
