@@ -8,12 +8,13 @@ filter). Classes that share one are a group. Its pairs pass the length filter an
 as a pair, pass the suffix filter (bounds by parts of the hash range), and are verified on the whole sets, which
 are written once to the shared folder and read by range.
 
-A prefix shingle of more than HOT classes is hot. Tasks count their own entries by shingle first, so one shingle's
-counts are a row for each task; the sums go back to the tasks, and the entries of hot shingles are dealt over pairs
-of blocks of about HOT classes, each a task's work, so that no task holds a hot shingle. There whole blocks are
-intersected at once, and a pair is counted at its first common hot shingle; a pair that shares a hot shingle is
-left out elsewhere. So each link is verified once and counted once, and what a block gives is sums of links and
-a spanning forest, never its pairs.
+A prefix shingle of more than HOT classes is hot, and so is one that a single batch has of more than SEEN: such a
+batch sends one entry for it, so that no task ever gets all entries of a hot shingle. The hot ones are known to all
+tasks by a set of bits of fixed size, which may hold others by chance; those are hot too. Classes that share a hot one
+are dealt over pairs of blocks of about BLOCK classes, each a task's work. There whole blocks are intersected at
+once, and a pair is counted at its first common hot shingle; a pair that shares a hot shingle is left out
+elsewhere. So each link is verified once and counted once, and what a block gives is sums of links and a spanning
+forest, never its pairs.
 
 Null and empty texts have 0 shingles and link with nothing. Repeated rows are copies of each other and count as
 links. A null id is never a component's id unless all its documents' ids are null. An empty table gives an empty
@@ -36,14 +37,14 @@ from millrace.llm import common, kernels, storage
 SHINGLE = 5
 NUM, DEN = 4, 5
 SKETCH_BITS, RANGES = 20, 64
-#: Classes of a shingle that meet in one task; those of more are dealt over pairs of blocks of about so many.
-HOT = 128
+#: Classes of a shingle whose pairs are listed; more are dealt over pairs of blocks of about BLOCK. SEEN: in one batch.
+HOT, SEEN, BLOCK = 32, 8, 384
 SALTS = 64
 #: Candidate pairs that are held at once.
 PAIRS = 1 << 20
 U = np.uint64
-ENTRY = np.dtype([("token", "<u8"), ("hi", "<i8"), ("lo", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-TALLY = np.dtype([("token", "<u8"), ("task", "<i8"), ("n", "<i8")])
+#: cls: half of a class's name. Two classes with one half would be candidates together, and told apart by their sets.
+ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
 def shingle_sets(raw: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +149,13 @@ class Rows:
         return np.bincount(self.of[kernels.ranges(self.first[at], self.size[at])], minlength=self.n)
 
 
-def links_of_blocks(token: int, hot_i: list[np.ndarray], n_i: np.ndarray, hot_j: list[np.ndarray], n_j: np.ndarray, get_i, get_j, same: bool):
-    """Links (row of i, rows of j) of two blocks that share a hot token and none before it. get: reads a set."""
-    before = lambda h: h[: np.searchsorted(h, token)]
-    earlier = Rows([before(h) for h in hot_j])
+def links_of_blocks(before_i: list[np.ndarray], n_i: np.ndarray, before_j: list[np.ndarray], n_j: np.ndarray, get_i, get_j, same: bool):
+    """Links (row of i, rows of j) of two blocks that share a hot token. before: the hot tokens that a row has before
+    this one; rows that share one of those have met there. get: reads a set."""
+    earlier = Rows(before_j)
     wanted = []
-    for i, h in enumerate(hot_i):
-        use = (DEN * np.minimum(n_i[i], n_j) >= NUM * np.maximum(n_i[i], n_j)) & (earlier.shared(before(h)) == 0)
+    for i, h in enumerate(before_i):
+        use = (DEN * np.minimum(n_i[i], n_j) >= NUM * np.maximum(n_i[i], n_j)) & (earlier.shared(h) == 0)
         if same:
             use[: i + 1] = False
         wanted.append(use)
@@ -175,6 +176,7 @@ def links_of_blocks(token: int, hot_i: list[np.ndarray], n_i: np.ndarray, hot_j:
 def _sketch(base: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """Members (id, key, n, hi, lo), and document counts of shingles in 2 ** SKETCH_BITS counters."""
 
+    @common.trimmed
     def run(frames):
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for f, h, at in _sets(frames, width):
@@ -206,110 +208,87 @@ def _sketch(base: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _entries(base: DataFrame, sketch: np.ndarray, width: int) -> DataFrame:
-    """Rows (task, blob): the prefix entries of each batch of documents, a class once."""
+    """Blobs of the prefix entries of each batch of documents, a class once, sorted by token."""
     counts = base.sparkSession.sparkContext.broadcast(sketch)
 
+    @common.trimmed
     def run(frames):
         for _, h, at in _sets(frames, width):
             n = np.diff(at)
             of = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, counts.value[(h >> U(64 - SKETCH_BITS)).astype(np.int64)], of))
             pos = np.arange(len(h)) - at[:-1][of]
-            cls = np.array([class_of(h[x:y]) if y > x else (0, 0) for x, y in zip(at[:-1], at[1:], strict=True)], dtype=np.int64).reshape(-1, 2)
+            cls = np.array([class_of(h[x:y])[1] if y > x else 0 for x, y in zip(at[:-1], at[1:], strict=True)], dtype=np.int64)
             new = np.zeros(len(n), dtype=bool)
-            new[np.unique(cls, axis=0, return_index=True)[1]] = True
+            new[np.unique(cls, return_index=True)[1]] = True
             use = (pos < prefix_length(n)[of]) & new[of]
             e = np.empty(int(use.sum()), dtype=ENTRY)
-            e["token"], e["hi"], e["lo"], e["n"], e["pos"] = h[order][use], cls[of[use], 0], cls[of[use], 1], n[of[use]], pos[use]
-            yield pd.DataFrame({"task": [uuid.uuid4().int >> 65], "blob": [e.tobytes()]})
+            e["token"], e["cls"], e["n"], e["pos"] = h[order][use], cls[of[use]], n[of[use]], pos[use]
+            yield pd.DataFrame({"blob": [e[np.argsort(e["token"], kind="stable")].tobytes()]})
 
-    return common.written(base.select("t").mapInPandas(run, "task long, blob binary"), "jaccard-entries")
+    return common.written(base.select("t").mapInPandas(run, "blob binary"), "jaccard-entries")
 
 
-def _hot(entries: DataFrame) -> DataFrame:
-    """Rows (task, hot): the tokens of a batch that more than HOT of all classes' entries have, and their blocks."""
+def _met(entries: DataFrame) -> DataFrame:
+    """Rows (a, b, null) of candidate pairs of classes, and (null, null, bit) of hot tokens."""
     n_parts = common.parts(entries.sparkSession)
 
-    def tally(frames):
+    @common.trimmed
+    def deal(frames):
         for f in frames:
-            for task, blob in zip(f["task"], f["blob"], strict=True):
-                token, n = np.unique(np.frombuffer(blob, dtype=ENTRY)["token"], return_counts=True)
-                t = np.empty(len(token), dtype=TALLY)
-                t["token"], t["task"], t["n"] = token, task, n
-                yield common.deal(t, kernels.mix(token), 4 * n_parts)
-
-    def add(frames):
-        got = [np.frombuffer(b, dtype=TALLY) for f in frames for b in f["blob"]]
-        if not got:
-            return
-        t = np.concatenate(got)
-        del got
-        t = t[np.argsort(t["token"], kind="stable")]
-        first = kernels.runs(t["token"])
-        total = np.repeat(np.add.reduceat(t["n"], first), np.diff(first, append=len(t)))
-        t, total = t[total > HOT], total[total > HOT]
-        t["n"] = -(-total // HOT)
-        t = t[np.argsort(t["task"], kind="stable")]
-        first = kernels.runs(t["task"])
-        yield pd.DataFrame({"task": t["task"][first], "blob": [t[a:b].tobytes() for a, b in zip(first, kernels.stops(first, len(t)), strict=True)]})
-
-    sums = entries.mapInPandas(tally, "bucket int, blob binary").repartition(n_parts, "bucket").mapInPandas(add, "task long, blob binary")
-    return common.written(sums.groupBy("task").agg(F.collect_list("blob").alias("hot")), "jaccard-hot")
-
-
-def _met(entries: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows (a_hi, a_lo, b_hi, b_lo) of candidate pairs, and (a_hi, a_lo, token, blocks) of entries with hot tokens."""
-    n_parts = common.parts(entries.sparkSession)
-    pair = "a_hi long, a_lo long, b_hi long, b_lo long, token long, blocks int"
-
-    def split(frames):
-        for f in frames:
-            for blob, some in zip(f["blob"], f["hot"], strict=True):
+            for blob in f["blob"]:
                 e = np.frombuffer(blob, dtype=ENTRY)
-                t = np.concatenate([np.frombuffer(b, dtype=TALLY) for b in some]) if some is not None and len(some) else np.zeros(0, TALLY)
-                t = t[np.argsort(t["token"])]
-                at = np.minimum(np.searchsorted(t["token"], e["token"]), max(len(t) - 1, 0))
-                is_hot = t["token"][at] == e["token"] if len(t) else np.zeros(len(e), dtype=bool)
-                yield common.deal(e[~is_hot], kernels.mix(e["token"][~is_hot]), 4 * n_parts)
-                h, blocks = e[is_hot], t["n"][at[is_hot]] if len(t) else np.zeros(0, np.int64)
-                for a in range(0, len(h), 10_000):
-                    some_h = h[a : a + 10_000]
-                    rec = np.empty(len(some_h), dtype=[("hi", "<i8"), ("lo", "<i8"), ("token", "<u8"), ("blocks", "<i8")])
-                    rec["hi"], rec["lo"], rec["token"], rec["blocks"] = some_h["hi"], some_h["lo"], some_h["token"], blocks[a : a + 10_000]
-                    out = common.deal(rec, kernels.mix(rec["lo"].view(U)), 4 * n_parts)
-                    out["bucket"] = -1 - out["bucket"]
-                    yield out
-
+                first = kernels.runs(e["token"])
+                size = np.diff(first, append=len(e))
+                many = e[first[size > SEEN]].copy()
+                many["n"] = 0  # stands for more than SEEN entries
+                e = np.concatenate([e[np.repeat(size <= SEEN, size)], many])
+                yield common.deal(e, kernels.mix(e["token"]), 4 * n_parts)
+
+    @common.trimmed
     def meet(frames):
-        got = []
-        for f in frames:
-            ask = f["bucket"] >= 0
-            got += [np.frombuffer(b, dtype=ENTRY) for b in f["blob"][ask]]
-            for b in f["blob"][~ask]:
-                r = np.frombuffer(b, dtype=[("hi", "<i8"), ("lo", "<i8"), ("token", "<u8"), ("blocks", "<i8")])
-                yield pd.DataFrame({"a_hi": r["hi"], "a_lo": r["lo"], "b_hi": 0, "b_lo": 0, "token": r["token"].view(np.int64), "blocks": r["blocks"].astype(np.int32)})
+        got = [np.frombuffer(b, dtype=ENTRY) for f in frames for b in f["blob"]]
         if not got:
             return
         e = np.concatenate(got)
         del got
-        e = e[np.lexsort((e["lo"], e["hi"], e["token"]))]
-        e = e[kernels.runs(e["token"], e["hi"], e["lo"])]  # a class that several batches have sent
+        e = e[np.lexsort((e["cls"], e["n"], e["token"]))]
+        e = e[kernels.runs(e["token"], e["n"], e["cls"])]  # a class that several batches have sent
+        first = kernels.runs(e["token"])
+        size = np.diff(first, append=len(e))
+        hot = (size > HOT) | (e["n"][first] == 0)
+        none = lambda k: pd.array([None] * k, dtype="Int64")
+        yield pd.DataFrame({"a": none(hot.sum()), "b": none(hot.sum()), "bit": pd.array(common.bit_of(e["token"][first[hot]]), dtype="Int64")})
+        e = e[np.repeat(~hot, size)]
         for i, j in propose(e):
-            x, y = e[i], e[j]
-            p = np.stack([x["hi"], x["lo"], y["hi"], y["lo"]], axis=1)
+            p = np.sort(np.stack([e["cls"][i], e["cls"][j]], axis=1), axis=1)
             p = p[np.lexsort(p.T[::-1])]
             p = p[kernels.runs(*p.T)]
-            yield pd.DataFrame({"a_hi": p[:, 0], "a_lo": p[:, 1], "b_hi": p[:, 2], "b_lo": p[:, 3], "token": 0, "blocks": np.int32(0)})
+            yield pd.DataFrame({"a": pd.array(p[:, 0], dtype="Int64"), "b": pd.array(p[:, 1], dtype="Int64"), "bit": none(len(p))})
+
+    return common.written(entries.mapInPandas(deal, "bucket int, blob binary").repartition(n_parts, "bucket").mapInPandas(meet, "a long, b long, bit long"), "jaccard-met")
+
+
+def _hot(entries: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows (cls, token) of the entries that have hot tokens."""
+    sent = entries.sparkSession.sparkContext.broadcast(bits)
 
-    rows = entries.join(hot, "task", "left").select("blob", "hot").mapInPandas(split, "bucket int, blob binary")
-    return common.written(rows.repartition(n_parts, "bucket").mapInPandas(meet, pair), "jaccard-met")
+    @common.trimmed
+    def run(frames):
+        for f in frames:
+            for blob in f["blob"]:
+                e = np.frombuffer(blob, dtype=ENTRY)
+                e = e[common.in_set(sent.value, e["token"])]
+                yield pd.DataFrame({"cls": e["cls"], "token": e["token"].view(np.int64)})
 
+    return entries.mapInPandas(run, "cls long, token long").distinct()
 
-def _stored(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Write the sets of the wanted classes (cls, hi, lo, key) to the shared folder; rows (cls, file, offset, size)."""
-    folder = common.fresh(base.sparkSession, "jaccard-sets")
+
+def _stored(base: DataFrame, wanted: DataFrame, width: int, folder: str) -> DataFrame:
+    """Write the sets of the wanted classes (cls, hi, lo, key) to files of a folder; rows (cls, file, offset, size)."""
     rows = base.select("key", "t").join(wanted.hint("merge"), "key")  # alike at every size
 
+    @common.trimmed
     def run(frames):
         out = None
         for f in frames:
@@ -317,9 +296,11 @@ def _stored(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for g, h, at in _sets([f], width):
                 for cls, hi, lo, x, y in zip(g["cls"], g["hi"], g["lo"], at[:-1], at[1:], strict=True):
                     if class_of(h[x:y]) == (hi, lo):  # not another row with that key
-                        out = out or storage.Writer(folder, uuid.uuid4().hex)
+                        if out is None:
+                            name = uuid.uuid4().hex
+                            out = storage.Writer(folder, name)
                         blob = h[x:y].tobytes()
-                        got.append((cls, out.uri, out.write(blob), len(blob)))
+                        got.append((cls, name, out.write(blob), len(blob)))
             yield pd.DataFrame(got, columns=["cls", "file", "offset", "size"])
         if out:
             out.close()
@@ -348,7 +329,7 @@ FOUND = "a long, b long, s long"
 PLACE = ("docs", "file", "offset", "size", "hot")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Links of pairs (a, b) that share no hot token. A set with many partners is read once for each share of them."""
     n = common.parts(pairs.sparkSession)
     side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in PLACE))
@@ -357,7 +338,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def verify(frames):
         reader, last, own = storage.Reader(64), None, None
-        get = lambda *where: np.frombuffer(reader.read(*where), dtype=U)
+        get = lambda file, *where: np.frombuffer(reader.read(f"{folder}/{file}", *where), dtype=U)
         for f in frames:
             found = _Found()
             for a, b, ad, af, ao, az, bd, bf, bo, bz in f[["a", "b", *(f"{c}_{x}" for c in "ab" for x in PLACE[:4])]].itertuples(index=False):
@@ -375,11 +356,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.repartition(n, "a", "s").sortWithinPartitions("a").mapInPandas(verify, FOUND)
 
 
-def _blocks(hot: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(hot: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Links of classes (cls, token, blocks) that share a hot token, block by block."""
     n = common.parts(hot.sparkSession)
     rows = hot.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cls", "token", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets.select("cls", *PLACE), "cls")
+    rows = rows.withColumn("hot", F.filter("hot", lambda x: x < F.col("token")))
     rows = rows.withColumn("work", F.xxhash64("token", "lo", "hi")).repartition(n, "work").sortWithinPartitions("token", "lo", "hi", "own", "cls").drop("work")
 
     def groups(frames):
@@ -400,22 +382,21 @@ def _blocks(hot: DataFrame, sets: DataFrame) -> DataFrame:
             if len(g) < 2:
                 continue
             cls, docs, own = (g[c].to_numpy() for c in ("cls", "docs", "own"))
-            n, token = g["size"].to_numpy() // 8, g["token"].iloc[0].astype(np.int64).view(U)
-            lists = [np.sort(np.asarray(h, dtype=np.int64).view(U)) for h in g["hot"]]
+            n, before = g["size"].to_numpy() // 8, [np.asarray(h, dtype=np.int64) for h in g["hot"]]
             where, held = g[["file", "offset", "size"]].to_numpy(), {}
 
             def get(i: int) -> np.ndarray:
                 if i not in held:
                     if sum(map(len, held.values())) > PAIRS:
                         held.clear()
-                    held[i] = np.frombuffer(reader.read(*where[i]), dtype=U)
+                    held[i] = np.frombuffer(reader.read(f"{folder}/{where[i][0]}", *where[i][1:]), dtype=U)
                 return held[i]
 
             same = bool(g["lo"].iloc[0] == g["hi"].iloc[0])
             cut = 0 if same else int(np.searchsorted(own, g["hi"].iloc[0]))
             stop = len(g) if same else cut
             found, forest = _Found(), common.Forest(len(g))
-            for i, some in links_of_blocks(token, lists[:stop], n[:stop], lists[cut:], n[cut:], get, lambda j: get(cut + j), same):  # noqa: B023
+            for i, some in links_of_blocks(before[:stop], n[:stop], before[cut:], n[cut:], get, lambda j: get(cut + j), same):  # noqa: B023
                 some = some + cut
                 found.count(cls[i], docs[some].sum())
                 for j in some.tolist():
@@ -430,6 +411,7 @@ def _blocks(hot: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, key, n, hi, lo), one for each document, and classes (hi, lo, comp, component_id, n_links)."""
+    spark = docs.sparkSession
     # Texts without words share no key, however many are alike.
     key = F.when(F.coalesce(F.trim(F.col(text_col)), F.lit("")) == "", F.xxhash64(F.monotonically_increasing_id(), F.lit("empty"))).otherwise(F.xxhash64(F.col(id_col), F.col(text_col)))
     base = docs.select(F.col(id_col).cast("string").alias("id"), key.alias("key"), F.col(text_col).alias("t"))
@@ -439,27 +421,32 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[D
     classes = common.written(classes.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
 
     entries = _entries(base, sketch, width)
-    met = _met(entries, _hot(entries))
-    name = lambda c: classes.select(F.col("hi").alias(f"{c}_hi"), F.col("lo").alias(f"{c}_lo"), F.col("cls").alias(c))
-    pairs = met.where("blocks = 0").select("a_hi", "a_lo", "b_hi", "b_lo").distinct().join(name("a"), ["a_hi", "a_lo"]).join(name("b"), ["b_hi", "b_lo"])
-    pairs = common.written(pairs.select("a", "b"), "jaccard-pairs")
-    hot = met.where("blocks > 0").select("a_hi", "a_lo", "token").distinct().join(name("a"), ["a_hi", "a_lo"])
-    hot = common.written(hot.select(F.col("a").alias("cls"), "token"), "jaccard-hot-entries")
-    # Batches have counted their classes, copies in other batches too; blocks follow the classes that there are.
-    blocks = hot.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
-    hot = common.written(hot.join(blocks, "token"), "jaccard-hot-blocks")
-
+    met = _met(entries)
+    name = lambda c: classes.select(F.col("lo").alias(c), F.col("cls").alias(f"{c}_cls"))
+    pairs = met.where("bit IS NULL").select("a", "b").distinct().join(name("a"), "a").join(name("b"), "b")
+    pairs = common.written(pairs.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")), "jaccard-pairs")
+    bits = common.bitset(met.where("bit IS NOT NULL").select("bit"))
+    owners = common.written(_hot(entries, bits).withColumnRenamed("cls", "a").join(name("a"), "a").select(F.col("a_cls").alias("cls"), "token"), "jaccard-hot-entries")
+    common.drop_written(entries)
+    blocks = owners.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    hot = common.written(owners.join(blocks, "token"), "jaccard-hot-blocks")
+    common.drop_written(owners)
+
+    folder = common.fresh(spark, "jaccard-set-files")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
     wanted = common.written(wanted.join(classes.select("cls", "hi", "lo", "key", "docs"), "cls"), "jaccard-wanted")
     lists = hot.groupBy("cls").agg(F.collect_list("token").alias("hot"))  # at most a prefix for each class
-    sets = _stored(base, wanted.select("cls", "hi", "lo", "key"), width).join(wanted.select("cls", "docs"), "cls").join(lists, "cls", "left")
+    sets = _stored(base, wanted.select("cls", "hi", "lo", "key"), width, folder).join(wanted.select("cls", "docs"), "cls").join(lists, "cls", "left")
     sets = common.written(sets.withColumn("hot", F.coalesce("hot", F.array().cast("array<long>"))), "jaccard-sets")
 
-    links = common.written(_verified(pairs, sets).unionByName(_blocks(hot, sets)), "jaccard-links")
+    links = [common.written(_verified(pairs, sets, folder), "jaccard-links"), common.written(_blocks(hot, sets, folder), "jaccard-links")]
+    common.drop_folder(spark, folder)
+    links = links[0].unionByName(links[1])
     comps = common.components(links.where("b IS NOT NULL").select("a", "b"))
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("s").alias("s"))
     info = classes.join(comps.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left")
     info = common.written(info.select("hi", "lo", "first", F.coalesce("component", "cls").alias("comp"), (F.col("docs") - 1 + F.coalesce("s", F.lit(0))).alias("n_links")), "jaccard-info")
+    common.drop_written(classes, met, pairs, hot, wanted, sets, links, comps)
     lowest = info.groupBy("comp").agg(F.min("first").alias("component_id"))
     return members, info.join(lowest, "comp").select("hi", "lo", "comp", "component_id", "n_links")
 
