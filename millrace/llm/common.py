@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -11,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import kernels
+
 #: Vocabulary files of public tokenizers; every operator that needs one takes the file's path as a parameter.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
@@ -67,12 +72,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by written(), once nothing reads them any more."""
+    for df in tables:
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            drop_folder(df.sparkSession, f)
 
 
 def parts(spark: SparkSession) -> int:
@@ -80,9 +89,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def read_blobs(column, dtype) -> np.ndarray:
-    blobs = [b for b in column if b]
-    return np.frombuffer(b"".join(blobs), dtype=dtype) if blobs else np.zeros(0, dtype=dtype)
+def trimmed(run):
+    """A function over a task's frames that gives freed memory back at the end: idle workers are kept, and many may be."""
+
+    @functools.wraps(run)
+    def tidy(frames):
+        yield from run(frames)
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidy
 
 
 def texts(values) -> pd.Series:
@@ -100,6 +116,30 @@ def deal(rows: np.ndarray, key: np.ndarray, n: int) -> pd.DataFrame:
     return pd.DataFrame({"bucket": bucket[cut] if len(rows) else np.zeros(0, np.int32), "blob": [rows[a:b].tobytes() for a, b in zip(cut, stop, strict=True)] if len(rows) else []})
 
 
+#: A set of tokens as 2 ** BITS bits, by hash: it holds all of them and by chance others. Its size is a bound for what
+#: the driver gets and sends, however many tokens there are.
+BITS = 26
+
+
+def bit_of(token: np.ndarray) -> np.ndarray:
+    return (kernels.mix(token) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def bitset(bits: DataFrame) -> np.ndarray:
+    """The set of the numbers in the column `bit`, made by an aggregate that combines map-side."""
+    place = F.col("bit") + 1
+    rows = bits.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    for r in rows.collect():
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def in_set(bits: np.ndarray, token: np.ndarray) -> np.ndarray:
+    at = bit_of(token)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 class Forest:
     """Union-find over rows of one block; the root is the smallest index."""
 
