@@ -48,6 +48,7 @@ def _hits(base: DataFrame) -> DataFrame:
     """Rows (key, hits): the block keys that a row shares with another one's index."""
     n = common.parts(base.sparkSession)
 
+    @common.trimmed
     def probe(frames):
         for f in frames:
             raw, key = kernels.utf8(f["t"]), f["key"].to_numpy(np.int64)
@@ -70,6 +71,7 @@ def _hits(base: DataFrame) -> DataFrame:
                 many = np.repeat(size > 1, size)  # rows of this batch that meet need no answer
                 yield windows.to_rows(_hit(key[a:b][of[many]], m[many]), n)
 
+    @common.trimmed
     def meet(frames):
         got = []
         for f in frames:
@@ -101,6 +103,7 @@ def repeats(base: DataFrame) -> DataFrame:
     n = common.parts(base.sparkSession)
     near = base.join(common.written(_hits(base), "anchor-hits"), "key", "left")
 
+    @common.trimmed
     def compare(frames):
         for f in frames:
             f = f[f["hits"].notna()]

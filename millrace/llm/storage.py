@@ -1,4 +1,9 @@
-"""Files in the shared folder, written and range-read by executors (any store that pyarrow or Spark shares)."""
+"""Files in the shared folder, written and range-read by executors, without Spark's help.
+
+The folder must be in a store that pyarrow opens by its URI: file, hdfs or viewfs (with libhdfs), s3 (also written s3a
+or s3n), gs, abfs and abfss. Keys come from the executors' environment, not from Spark's settings. Of the
+operators, op5, op6 and op9 need such files; the others only need tables that Spark reads and writes.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,10 @@ import pyarrow.fs as pafs
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, found, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    return pafs.FileSystem.from_uri(uri if found or uri.startswith("file:") else f"file://{uri}")
 
 
 class Writer:

@@ -92,6 +92,7 @@ def gathered(frames: DataFrame, dtype: np.dtype) -> DataFrame:
     """Rows (key, kind, blob): each row's answers in one place. dtype: key, payload ..., and kind if it has one."""
     payload = [c for c in dtype.names if c not in ("key", "kind")]
 
+    @common.trimmed
     def run(parts):
         got = [np.frombuffer(b, dtype=dtype) for f in parts for b in f["blob"]]
         if not got:
@@ -131,6 +132,7 @@ def resolve(frames: DataFrame, rule: str, width: int) -> DataFrame:
     """Frames of answers only (bucket, blob) from the frames that tasks have sent."""
     n = common.parts(frames.sparkSession)
 
+    @common.trimmed
     def run(parts):
         got = []
         for f in parts:
