@@ -85,8 +85,8 @@ def test_sql(spark, sf_dir, name):
 def test_stages_take_odd_documents(spark):
     """Empty tables, nulls in any column, repeated rows, very long texts, and columns whose names the operators use."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string, found binary, doc int, t string, id string, __key string"
-    passage = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"one {passage} end", "en", "s", 9, "k", b"f", 1, "t", "i", "x"), (2, f"two other words {passage} stop", None, None, None, None, None, None, None, None, None), (2, f"two other words {passage} stop", None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None), (4, "", "", "", 0, "", b"", 0, "", "", ""), (None, "null id text", "en", "s", 1, "k", b"f", 1, "t", "i", "x"), (7, "long " + " ".join(f"v{i % 9973}" for i in range(120000)), "en", "s", 1, "k", b"f", 1, "t", "i", "x")]
+    passage, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(80))
+    rows = [(1, f"one {passage} end", "en", "s", 9, "k", b"f", 1, "t", "i", "x"), (2, f"{other} {passage} stop", None, None, None, None, None, None, None, None, None), (2, f"{other} {passage} stop", None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None), (4, "", "", "", 0, "", b"", 0, "", "", ""), (None, "null id text", "en", "s", 1, "k", b"f", 1, "t", "i", "x"), (7, "long " + " ".join(f"v{i % 9973}" for i in range(120000)), "en", "s", 1, "k", b"f", 1, "t", "i", "x")]
     docs = spark.createDataFrame(rows, schema).repartition(3)
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (4, None, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     for d in (docs, docs.limit(0)):
@@ -99,7 +99,7 @@ def test_stages_take_odd_documents(spark):
         assert {r.doc_id for r in packed} == {r.doc_id for r in kept.collect()}
         if d is docs:
             got = {r.text for r in kept.collect()}
-            assert rows[0][1] in got and "two other words stop" in got and len([r for r in kept.collect() if r.doc_id == 2]) == 1
+            assert rows[0][1] in got and f"{other} stop" in got and len([r for r in kept.collect() if r.doc_id == 2]) == 1
             assert kept.where("doc_id = 1").select("__key").first()[0] == "x"
 
 
