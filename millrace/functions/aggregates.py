@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,10 @@ def single_value(df: DataFrame, column: str) -> Column:
 def full_frame(x: Column, window, rows: int) -> Column:
     """A windowed value only where the frame holds `rows` rows (DISALLOW PARTIAL)."""
     return F.when(F.count(F.lit(1)).over(window) >= rows, x.over(window))
+
+
+def frame(window: WindowSpec, low: int, high: int, kind: str = "rows") -> WindowSpec:
+    """A ROWS or RANGE frame from `low` to `high`, negative before the current row; one that ends before it begins raises."""
+    if low > high:
+        raise ValueError("42601: the frame ends before it begins")
+    return window.rowsBetween(low, high) if kind == "rows" else window.rangeBetween(low, high)

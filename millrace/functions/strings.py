@@ -111,6 +111,12 @@ def clean_phone(s: Column, mask: str = "(999) 999-9999", reject: bool = False) -
     return F.when(F.length(digits) == need, F.concat(*parts)).when((F.length(digits) == 11) & digits.startswith("1"), long).otherwise(other)
 
 
+def is_phone(s: Column) -> Column:
+    """Whether clean_phone can bring the text into a form: ten digits, or eleven that begin with 1."""
+    digits = F.regexp_replace(F.translate(F.upper(s), *KEYPAD), "[^0-9]", "")
+    return (F.length(digits) == 10) | ((F.length(digits) == 11) & digits.startswith("1"))
+
+
 def clean_phone_international(s: Column, reject: bool = False) -> Column:
     """`+` and digits, with single blanks between groups; anything else stays, or raises with `reject`."""
     text = F.trim(F.regexp_replace(F.regexp_replace(s, r"^\s*(\+|00|011)", "+"), r"[^0-9+]+", " "))

@@ -22,6 +22,11 @@ def create_table_as(df: DataFrame, schema: str, name: str, with_rows: bool = Tru
     (df if with_rows else df.limit(0)).write.saveAsTable(quoted(schema, name), mode="errorifexists")
 
 
+def create_table_at(df: DataFrame, path: str, with_rows: bool = True) -> None:
+    """create_table_as for a folder that stands for the table."""
+    (df if with_rows else df.limit(0)).write.mode("errorifexists").parquet(path)
+
+
 def create_table_like(spark: SparkSession, source: str, schema: str, name: str, more: dict[str, str] | None = None) -> None:
     """An empty table with the columns of `source` and further typed columns."""
     df = spark.table(source).limit(0)
@@ -78,6 +83,77 @@ def sql_function(spark: SparkSession, name: str, arguments: str, returns: str, b
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
 
 
+def plan_of(df: DataFrame, mode: str = "formatted") -> str:
+    """The text of EXPLAIN for a DataFrame."""
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+class Routines:
+    """Functions of the user's own by name and types of arguments; the first whose types the arguments have is taken,
+    else the first to whose types they can be widened."""
+
+    WIDER = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+    def __init__(self):
+        self._all: dict[str, list[tuple[list[str], object]]] = {}
+
+    def add(self, name: str, kinds: list[str], body) -> None:
+        """body: Columns to a Column."""
+        if any(k == kinds for k, _ in self._all.get(name, [])):
+            raise ValueError(f"{name}({', '.join(kinds)}) exists")
+        self._all.setdefault(name, []).append((kinds, body))
+
+    def _fits(self, have: str, want: str) -> bool:
+        return have == want or have in self.WIDER and want in self.WIDER and self.WIDER.index(have) <= self.WIDER.index(want)
+
+    def call(self, df: DataFrame, name: str, *columns: str) -> Column:
+        have = [df.schema[c].dataType.simpleString() for c in columns]
+        known = [(k, b) for k, b in self._all.get(name, []) if len(k) == len(have)]
+        for same in (lambda h, w: h == w, self._fits):
+            for kinds, body in known:
+                if all(map(same, have, kinds)):
+                    return body(*(F.col(c).cast(k) for c, k in zip(columns, kinds, strict=True)))
+        raise LookupError(f"no {name}({', '.join(have)})")
+
+
+class Procedures:
+    """CALL: procedures by name; each gets the session and its arguments and returns its out parameters."""
+
+    def __init__(self):
+        self._all: dict[str, object] = {}
+
+    def add(self, name: str, body) -> None:
+        self._all[name.lower()] = body
+
+    def call(self, spark: SparkSession, name: str, *arguments, **named):
+        if name.lower() not in self._all:
+            raise LookupError(f"no procedure {name}")
+        return self._all[name.lower()](spark, *arguments, **named)
+
+
+def aggregate(parts, result):
+    """A user's aggregate: parts(*columns) names the built-in aggregates it needs, result(parts) combines them. As
+    these are built-in, each task combines its rows first."""
+
+    def run(df: DataFrame, keys: list[str], *columns: Column, name: str = "value") -> DataFrame:
+        cells = df.select(*keys, *(c.alias(f"__{i}") for i, c in enumerate(columns)))
+        made = {f"__p_{k}": v for k, v in parts(*(F.col(f"__{i}") for i in range(len(columns)))).items()}
+        out = cells.groupBy(*keys).agg(*(v.alias(k) for k, v in made.items()))
+        return out.select(*keys, result({k[4:]: F.col(k) for k in made}).alias(name))
+
+    return run
+
+
+def table_function(body, schema: str):
+    """A user's table function: body(frames, **arguments) gets the cursor's rows as pandas frames of bounded size and
+    yields frames of `schema`."""
+
+    def run(cursor: DataFrame, **arguments) -> DataFrame:
+        return cursor.mapInPandas(lambda frames: body(frames, **arguments), schema)
+
+    return run
+
+
 class Variables:
     """Application variables by (context, name), text values; unknown names raise, a variable not set is null."""
 

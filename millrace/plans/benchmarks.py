@@ -70,16 +70,16 @@ SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal
 WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {customer} WHERE c_acctbal > 0.00) AND NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey) GROUP BY c_nationkey""")
 
 for _n, _where in enumerate((
-    "year(o_orderdate) = 1997 AND l_discount BETWEEN 0.01 AND 0.03 AND l_quantity < 25",
-    "year(o_orderdate) = 1998 AND month(o_orderdate) = 1 AND l_discount BETWEEN 0.04 AND 0.06 AND l_quantity BETWEEN 26 AND 35",
-    "year(o_orderdate) = 1998 AND quarter(o_orderdate) = 2 AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity BETWEEN 36 AND 40",
+    "o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' AND l_discount BETWEEN 0.01 AND 0.03 AND l_quantity < 25",
+    "o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-02-01 00:00:00' AND l_discount BETWEEN 0.04 AND 0.06 AND l_quantity BETWEEN 26 AND 35",
+    "o_orderdate >= TIMESTAMP '1998-04-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-07-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity BETWEEN 36 AND 40",
 ), 1):
     register(f"ssb_q1_{_n}", f"SELECT CAST(round(sum(CAST(l_extendedprice * l_discount AS DECIMAL(18, 4))), 2) AS DOUBLE) AS revenue FROM {{lineitem}}, {{orders}} WHERE l_orderkey = o_orderkey AND {_where}")
 for _n, _where in enumerate(("p_type = 'ECONOMY' AND r_name = 'AMERICA'", "p_brand BETWEEN 'Brand#10' AND 'Brand#14' AND r_name = 'ASIA'", "p_brand = 'Brand#17' AND r_name = 'EUROPE'"), 1):
     register(f"ssb_q2_{_n}", f"SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, p_brand, {SUM} AS revenue FROM {{lineitem}}, {{orders}}, {{part}}, {{supplier}}, {{nation}}, {{region}} WHERE l_orderkey = o_orderkey AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND {_where} GROUP BY 1, p_brand")
-for _n, (_keys, _where) in enumerate((("cn.n_name AS c_nation, sn.n_name AS s_nation", "cr.r_name = 'ASIA' AND sr.r_name = 'ASIA'"), ("c_name, s_name", "cn.n_nationkey = 3 AND sn.n_nationkey = 3"), ("c_mktsegment, sn.n_name AS s_nation", "cr.r_name = 'EUROPE' AND sr.r_name = 'AMERICA'"), ("cn.n_name AS c_nation, s_name", "cr.r_name = 'AFRICA' AND year(o_orderdate) = 1999")), 1):
+for _n, (_keys, _where) in enumerate((("cn.n_name AS c_nation, sn.n_name AS s_nation", "cr.r_name = 'ASIA' AND sr.r_name = 'ASIA'"), ("c_name, s_name", "cn.n_nationkey = 3 AND sn.n_nationkey = 3"), ("c_mktsegment, sn.n_name AS s_nation", "cr.r_name = 'EUROPE' AND sr.r_name = 'AMERICA'"), ("cn.n_name AS c_nation, s_name", "cr.r_name = 'AFRICA' AND o_orderdate >= TIMESTAMP '1999-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00'")), 1):
     register(f"ssb_q3_{_n}", f"SELECT {_keys}, CAST(year(o_orderdate) AS BIGINT) AS d_year, {SUM} AS revenue FROM {{lineitem}}, {{orders}}, {{customer}}, {{supplier}}, {{nation}} cn, {{nation}} sn, {{region}} cr, {{region}} sr WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey AND cn.n_regionkey = cr.r_regionkey AND sn.n_regionkey = sr.r_regionkey AND {_where} GROUP BY 1, 2, 3")
-for _n, (_key, _where) in enumerate((("n_name", "r_name = 'AMERICA'"), ("p_type", "r_name = 'AMERICA' AND year(o_orderdate) IN (1997, 1998)"), ("p_brand", "n_nationkey = 7 AND p_type = 'ECONOMY'")), 1):
+for _n, (_key, _where) in enumerate((("n_name", "r_name = 'AMERICA'"), ("p_type", "r_name = 'AMERICA' AND o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'"), ("p_brand", "n_nationkey = 7 AND p_type = 'ECONOMY'")), 1):
     register(f"ssb_q4_{_n}", f"SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, {_key}, CAST(round(sum(CAST({REV} - 0.5 * p_retailprice AS DECIMAL(18, 4))), 2) AS DOUBLE) AS profit FROM {{lineitem}}, {{orders}}, {{part}}, {{supplier}}, {{nation}}, {{region}} WHERE l_orderkey = o_orderkey AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND {_where} GROUP BY 1, 2")
 
 _B = "(SELECT l_orderkey * 8 + l_linenumber AS kseq, l_orderkey % 2 AS k2, l_partkey % 4 AS k4, l_suppkey % 5 AS k5, l_partkey % 10 AS k10, l_suppkey % 25 AS k25, l_partkey % 100 AS k100, l_orderkey % 1000 AS k1k FROM {lineitem})"
@@ -111,3 +111,29 @@ WHERE o_orderstatus = 'F' AND a.l_returnflag = 'R'
   AND EXISTS (SELECT 1 FROM {lineitem} b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey)
   AND NOT EXISTS (SELECT 1 FROM {lineitem} c WHERE c.l_orderkey = a.l_orderkey AND c.l_suppkey <> a.l_suppkey AND c.l_returnflag = 'R')
 GROUP BY s_name""")
+
+#: Offers of parts by suppliers, which the tables have no list of: what was sold, with the lowest unit price as cost.
+_PS = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(floor(min(l_extendedprice / l_quantity)) AS DECIMAL(12, 2)) AS ps_supplycost, sum(l_quantity) AS ps_availqty FROM {lineitem} GROUP BY l_partkey, l_suppkey)"
+register("tpch_q2_shape", f"""
+WITH ps AS {_PS}, o AS (SELECT ps_partkey, s_suppkey, s_name, n_name, ps_supplycost FROM ps, {{supplier}}, {{nation}}, {{region}} WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
+SELECT s_name, n_name, p_partkey, p_brand FROM {{part}}, o WHERE p_partkey = ps_partkey AND p_size < 15
+  AND ps_supplycost = (SELECT min(x.ps_supplycost) FROM o x WHERE x.ps_partkey = p_partkey)""")
+register("tpch_q9_shape", f"""
+WITH ps AS {_PS}
+SELECT n_name, CAST(year(o_orderdate) AS BIGINT) AS o_year, CAST(round(sum(CAST({REV} AS DECIMAL(18, 4)) - ps_supplycost * CAST(l_quantity AS DECIMAL(12, 2))), 2) AS DOUBLE) AS sum_profit
+FROM {{part}}, {{supplier}}, {{lineitem}}, ps, {{orders}}, {{nation}}
+WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey
+  AND s_nationkey = n_nationkey AND p_name LIKE '%re%' GROUP BY 1, 2""")
+register("tpch_q11_shape", f"""
+WITH ps AS {_PS}, v AS (SELECT ps_partkey, CAST(ps_supplycost * ps_availqty AS DECIMAL(24, 4)) AS value FROM ps, {{supplier}} WHERE ps_suppkey = s_suppkey AND s_nationkey < 13)
+SELECT ps_partkey, CAST(round(sum(value), 2) AS DOUBLE) AS value FROM v GROUP BY ps_partkey HAVING sum(value) > (SELECT sum(value) * 0.0012 FROM v)""")
+register("tpch_q16_shape", f"""
+WITH ps AS {_PS}
+SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps, {{part}}
+WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49)
+  AND ps_suppkey NOT IN (SELECT s_suppkey FROM {{supplier}} WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""")
+register("tpch_q20_shape", f"""
+WITH ps AS {_PS}
+SELECT s_name FROM {{supplier}}, {{nation}} WHERE s_nationkey = n_nationkey AND n_regionkey < 3 AND s_suppkey IN (
+  SELECT ps_suppkey FROM ps WHERE ps_partkey IN (SELECT p_partkey FROM {{part}} WHERE p_name LIKE 's%')
+    AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM {{lineitem}} WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1999-01-01 00:00:00'))""")

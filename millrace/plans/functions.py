@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from millrace.functions import collections as C
 from millrace.functions import datetimes as D
 from millrace.functions import numerics as N
 from millrace.functions import strings as S
-from millrace.operators import dml
+from millrace.operators import dml, relational
 from millrace.operators import table_functions as T
 from millrace.plans.registry import query
 from millrace.plans.sql import load, register
@@ -44,11 +40,6 @@ def clean_phone(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", S.clean_phone(F.concat_ws(".", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 4))).alias("phone"))
 
 
-@query("SELECT c_custkey, 'INTL ' || c_name AS a FROM customer")
-def clean_phone_rejects(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select("c_custkey", S.clean_phone_international(F.concat(F.lit("INTL "), "c_name")).alias("a"))
-
-
 # Dates
 register("date_extract", "SELECT o_orderkey, extract(YEAR FROM o_orderdate) AS y, extract(MONTH FROM o_orderdate) AS m, extract(DAY FROM o_orderdate) AS d, extract(HOUR FROM o_orderdate) AS h FROM {orders}", "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS y, CAST(extract(MONTH FROM o_orderdate) AS INTEGER) AS m, CAST(extract(DAY FROM o_orderdate) AS INTEGER) AS d, CAST(extract(HOUR FROM o_orderdate) AS INTEGER) AS h FROM {orders}")
 register("date_interval", "SELECT o_orderkey, o_orderdate + INTERVAL '3' DAY AS a, o_orderdate - INTERVAL '1' MONTH AS b FROM {orders}")
@@ -83,12 +74,20 @@ def convert_date(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", D.convert_date(text, "DD/MM/YYYY").alias("d"))
 
 
-@query("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey - a.n_nationkey < 3")
+@query("SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a, orders b WHERE a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderdate < b.o_orderdate + INTERVAL 10 DAY AND b.o_orderdate < a.o_orderdate + INTERVAL 10 DAY")
 def period_overlaps(spark, sf_dir):
-    n = load(spark, sf_dir, "nation").select("n_nationkey")
-    day = lambda c, k: F.date_add(F.lit("2000-01-01").cast("date"), F.col(c) + k)
-    pairs = n.select(F.col("n_nationkey").alias("x")).join(n.select(F.col("n_nationkey").alias("y")), F.col("x") < F.col("y"))
-    return pairs.where(D.overlaps(day("x", 0), day("x", 3), day("y", 0), day("y", 3)))
+    """Orders of a customer whose periods of ten days overlap: an equi-join by customer, then OVERLAPS."""
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.expr("INTERVAL '10' DAY")).alias("e"))
+    both = o.alias("a").join(o.alias("b"), F.expr("a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey"))
+    return both.where(D.overlaps(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))).select(F.col("a.o_orderkey").alias("x"), F.col("b.o_orderkey").alias("y"))
+
+
+@query("SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a, part b WHERE a.p_partkey < b.p_partkey AND a.p_retailprice < b.p_retailprice + 0.5 AND b.p_retailprice < a.p_retailprice + 0.5")
+def period_overlaps_binned(spark, sf_dir):
+    """Intervals without another key: by bins instead of all pairs."""
+    p = load(spark, sf_dir, "part")
+    side = lambda n: p.select(F.col("p_partkey").alias(n), F.col("p_retailprice").alias(f"{n}_s"), (F.col("p_retailprice") + 0.5).alias(f"{n}_e"))
+    return relational.overlap_join(side("x"), side("y"), "x_s", "x_e", "y_s", "y_e", 0.5).where("x < y").select("x", "y")
 
 
 # Numbers
@@ -101,11 +100,6 @@ def math_exact(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", N.quotient(s, F.lit(7)).cast("double").alias("q"), N.int_div(s, F.lit(7)).cast("int").alias("d"), N.to_integer(p).alias("i"), F.round(N.ln(s), 6).alias("l"), F.round(N.log10(s), 6).alias("g"), N.reinterpret(p, 2).alias("r"))
 
 
-@query()
-def math_rand(spark, sf_dir):
-    return load(spark, sf_dir, "nation").select("n_nationkey", N.rand_between(1, 6, 3).alias("r"))
-
-
 # Multisets
 @query("SELECT n_regionkey, list_sort(list(n_nationkey)) AS m FROM nation GROUP BY n_regionkey")
 def collect_multiset(spark, sf_dir):
@@ -117,12 +111,6 @@ def unnest_multiset(spark, sf_dir):
     return load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("m")).select("n_regionkey", F.explode("m").alias("name"))
 
 
-@query("SELECT r_regionkey, [1,1,2,2,3] AS ua, [1,2,3] AS ud, [2] AS ia, [1,1] AS ea, true AS mem, false AS s, true AS sub, CAST(7 AS INTEGER) AS el FROM region")
-def multiset_operators(spark, sf_dir):
-    a, b = F.array(*map(F.lit, (1, 1, 2))), F.array(*map(F.lit, (2, 3)))
-    return load(spark, sf_dir, "region").select("r_regionkey", C.union_all(a, b).alias("ua"), C.union_distinct(a, b).alias("ud"), C.intersect_all(a, b).alias("ia"), C.except_all(a, b).alias("ea"), C.member_of(F.lit(2), a).alias("mem"), C.is_a_set(a).alias("s"), C.submultiset_of(F.array(F.lit(1), F.lit(1)), a).alias("sub"), C.element(F.array(F.lit(7))).alias("el"))
-
-
 # Table functions
 @query("SELECT n_regionkey AS parent_value, string_agg(n_name, ',' ORDER BY n_nationkey) AS concatenated_child_values, count(n_name) AS collapsed_row_count FROM (SELECT n_regionkey, n_nationkey, NULLIF(n_name, 'FRANCE') AS n_name FROM nation) GROUP BY n_regionkey")
 def collapse_rows(spark, sf_dir):
@@ -187,28 +175,42 @@ def split_rows(spark, sf_dir):
     return T.split_rows(load(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("word")), "word", " ", "\\")
 
 
-@query()
-def generate_crc(spark, sf_dir):
-    return T.generate_crc(load(spark, sf_dir, "part"), ["p_retailprice"], exclude=True).select("p_partkey", "crc_value")
-
-
 @query("SELECT p_partkey FROM part WHERE p_size <= 40")
 def enforce_constraints(spark, sf_dir):
     p = load(spark, sf_dir, "part").withColumn("code", F.when(F.col("p_size") > 40, "TOO_BIG").when(F.col("p_size") > 30, "BIG"))
     return T.enforce_constraints(p, ["code"], {"TOO_BIG": "reject", "BIG": "warning"})[0].select("p_partkey")
 
 
-@query("SELECT 'n_regionkey' AS column_name FROM region WHERE r_regionkey = 0")
-def index_candidates(spark, sf_dir):
-    return T.index_candidates(load(spark, sf_dir, "nation"), 30).select("column_name")
-
-
 @query("""SELECT CAST(d AS DATE) AS time_key, strftime(d, '%A') AS day_of_week, dayofweek(d) IN (0, 6) AS is_weekend, CAST(CAST(d AS DATE) - CAST(dayofweek(d) AS INTEGER) AS DATE) AS week_start, last_day(d) AS month_end, CAST(quarter(d) AS INTEGER) AS quarter, CAST((month(d) - 10 + 12) % 12 + 1 AS INTEGER) AS fiscal_month
 FROM range(TIMESTAMP '1999-12-25 00:00:00', TIMESTAMP '2001-01-06 00:00:00', INTERVAL 1 DAY) t(d)""")
 def time_dimension(spark, sf_dir):
     return T.time_dimension(spark, "1999-12-25", "2001-01-05", 10).select("time_key", "day_of_week", "is_weekend", "week_start", "month_end", "quarter", "fiscal_month")
 
 
+@query("SELECT 'o_orderstatus' AS column_name, count(DISTINCT o_orderstatus) AS distinct_count FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders HAVING 100 * count(DISTINCT o_custkey) <= 12 * count(*)")
+def index_candidates(spark, sf_dir):
+    """Columns of few values, counted exactly."""
+    return T.index_candidates(load(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderkey"), 12)
+
+
+@query("""WITH f AS (SELECT user_id, ts, event_type, value, lag(event_type) OVER w AS pe, lag(value) OVER w AS pv, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+e AS (SELECT user_id, pe FROM f WHERE rn > 1 AND pe IS DISTINCT FROM event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1),
+v AS (SELECT user_id, pv FROM f WHERE rn > 1 AND pv IS DISTINCT FROM value QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1),
+u AS (SELECT DISTINCT user_id FROM events)
+SELECT u.user_id, e.pe AS event_type, v.pv AS value FROM u LEFT JOIN e ON e.user_id = u.user_id LEFT JOIN v ON v.user_id = u.user_id""")
+def penultimate_values_others(spark, sf_dir):
+    """Another column beside the designated one."""
+    return T.penultimate_values(load(spark, sf_dir, "events"), ["user_id"], "ts", "event_type", ["value"]).select("user_id", "event_type", "value")
+
+
+@query("""WITH r AS (SELECT n_nationkey, n_regionkey, n_name, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY n_regionkey ORDER BY n) AS run FROM r)
+SELECT min(n) AS start, n_regionkey AS parent_value, string_agg(n_name, '/' ORDER BY n) AS concatenated_child_values, count(n_name) AS collapsed_row_count FROM g GROUP BY n_regionkey, run""")
+def collapse_runs(spark, sf_dir):
+    """A parent that comes back later begins a new row."""
+    return T.collapse_runs(load(spark, sf_dir, "nation"), "n_regionkey", "n_name", ["n_nationkey"], "/")
+
+
 # DML: the state after a statement
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE NOT n_regionkey = 2")
 def dml_delete(spark, sf_dir):
@@ -228,29 +230,6 @@ def dml_merge(spark, sf_dir):
     return dml.merged(t, source, ["c_custkey"])
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 0")
-def dml_versioned_insert_label(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    t = dml.VersionedTable(spark, f"{base}/nation-{uuid.uuid4().hex}")
-    n = load(spark, sf_dir, "nation")
-    t.commit(n)
-    t.insert(n.where("n_regionkey = 0").withColumn("n_nationkey", F.col("n_nationkey") + 100))
-    t.label("after_insert")
-    t.delete(F.col("n_regionkey") == 4)
-    return t.read(label="after_insert")
-
-
-# Sources
-@query("SELECT CAST(i AS BIGINT) AS id FROM range(1000) t(i)")
-def mock_source(spark, sf_dir):
-    return spark.range(1000)
-
-
-@query()
-def catalog_tables(spark, sf_dir):
-    return spark.sql("SHOW TABLES")
-
-
 # Streams (the engine is a batch engine; windows over event time are an addition)
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_tumbling(spark, sf_dir):

@@ -25,6 +25,6 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from millrace.plans import benchmarks, core, functions  # noqa: E402  they register their queries here
+from millrace.plans import benchmarks, core, etl, functions, semantics  # noqa: E402  they register their queries here
 
-__all__ = ["ORACLE_SQL", "QUERIES", "benchmarks", "core", "functions", "query"]
+__all__ = ["ORACLE_SQL", "QUERIES", "benchmarks", "core", "etl", "functions", "query", "semantics"]

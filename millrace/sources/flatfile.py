@@ -25,11 +25,17 @@ def parse_bcp(text: str) -> T.StructType:
 
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None, field: str = ",", quote: str = '"', escape: str = '"', header: bool = True, lenient: bool = True, trim: bool = True, mapped: bool = False, date_format: str | None = None, sample_rows: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected lines). A row with another number of columns is bad unless lenient: then missing fields
-    are null and extra ones go. `mapped` takes fields by the header's names. Values that do not fit are bad."""
+    are null and extra ones go. `mapped` takes fields by the header's names. Values that do not fit are bad.
+
+    Without a schema, names come from the header and types from the first `sample_rows` rows, which is all that is
+    read for them; a later value that does not fit such a type makes its row bad."""
     text = spark.read.options(sep=field, quote=quote, escape=escape, header=header, ignoreLeadingWhiteSpace=trim, ignoreTrailingWhiteSpace=trim, mode="PERMISSIVE", enforceSchema=True)
-    raw_names = spark.read.options(sep=field, quote=quote, escape=escape, header=header).csv(path).columns
+    head = spark.read.text(path).limit(sample_rows + 1).collect()  # so many lines, of which one may be the header
+    sample = spark.read.options(sep=field, quote=quote, escape=escape, header=header, inferSchema=True, ignoreLeadingWhiteSpace=trim, ignoreTrailingWhiteSpace=trim)
+    first = sample.csv(spark.sparkContext.parallelize([r[0] for r in head], 1)).schema
+    raw_names = [f.name for f in first]
     if schema is None:
-        schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(raw_names, spark.read.options(sep=field, quote=quote, escape=escape, header=header, inferSchema=True).csv(path).limit(sample_rows).schema, strict=True)])
+        schema = first
     names = [c.lower() for c in raw_names] if mapped else [f.name for f in schema] + [f"__extra{i}" for i in range(max(0, len(raw_names) - len(schema)))]
     strings = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField("__bad", T.StringType())])
     rows = text.schema(strings).options(columnNameOfCorruptRecord="__bad").csv(path)
@@ -54,3 +60,12 @@ def bcp_of(schema: T.StructType, field: str = ",") -> str:
     kind = lambda d: back.get(d.simpleString(), "SQLDECIMAL" if d.simpleString().startswith("decimal") else "SQLVARCHAR")
     lines = [f'{i + 1} {kind(f.dataType)} 0 0 "{field if i + 1 < len(schema) else chr(92) + "n"}" {i + 1} {f.name}' for i, f in enumerate(schema)]
     return "\n".join(["6.0", str(len(schema)), *lines]) + "\n"
+
+
+def export_with_schema(df: DataFrame, path: str, field: str = ",") -> tuple[str, T.StructType]:
+    """Rows to path/data with a header, and their control file to path/control; what read() needs to get them back."""
+    export(df, f"{path}/data", field)
+    spark = df.sparkSession
+    spark.createDataFrame([(bcp_of(df.schema, field),)], "text string").coalesce(1).write.text(f"{path}/control")
+    text = "".join(r[0] for r in spark.read.text(f"{path}/control", wholetext=True).collect())  # one small file
+    return f"{path}/data", parse_bcp(text)
