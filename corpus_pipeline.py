@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs. All stages but the last return the columns of `documents`; the last returns the packed
 pieces of the documents that are left.
+
+Every stage takes an empty table and gives an empty one; null and empty texts pass all stages and are packed as
+their end alone; rows that are repeated whole leave the second stage once; further columns, whatever their names,
+pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -39,7 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, done = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}"), last
+        if done is not None:
+            common.drop_written(done)  # the stage that read it has been written
+        last = docs
     return docs
