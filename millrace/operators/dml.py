@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.table_functions import Sequence
+
 
 class Conflict(RuntimeError):
     """Another writer has committed a version after the one that was read."""
@@ -160,6 +162,17 @@ class VersionedTable:
         fs, p = self._fs(f"{self.path}/labels/{name}")
         fs.delete(p, False)
 
+    def restore(self, label: str) -> int:
+        """ROLLBACK to a savepoint: the rows of the labelled version are the newest again. No file is written."""
+        old = self._entry(int(self._get(f"labels/{label}")))
+        return self._log(self.version, old["files"], T.StructType.fromJson(old["schema"]))
+
+    def backup(self, path: str, label: str | None = None) -> VersionedTable:
+        """A copy of the newest version, or of a labelled one, as a table of its own."""
+        copy = VersionedTable(self.spark, path)
+        copy.commit(self.read(label=label), -1)
+        return copy
+
     def vacuum(self) -> int:
         """Delete versions that are neither the newest nor labelled, and files that no version has; returns how many versions."""
         keep = {self.version} | {int(self._get(f"labels/{n}")) for n in self._names("labels")}
@@ -172,6 +185,30 @@ class VersionedTable:
         return len(gone)
 
 
+class DefinedTable(VersionedTable):
+    """A table with column defaults, columns that must not be null, a primary key and an identity column."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, defaults: dict[str, Column] | None = None, not_null: tuple[str, ...] = (), key: tuple[str, ...] = (), identity: tuple[str, Sequence, list[str]] | None = None):
+        """identity: the column, its sequence, and the columns whose order gives the numbers."""
+        super().__init__(spark, path)
+        self.schema, self.defaults, self.not_null, self.key, self.identity = schema, defaults or {}, not_null, key, identity
+        if self.version < 0:
+            self._log(-1, [], schema)
+
+    def insert(self, rows: DataFrame, tries: int = 20) -> int:
+        if self.identity and self.identity[0] not in rows.columns:
+            column, sequence, order = self.identity
+            rows = sequence.assign(rows, order, column)
+        rows = conformed(rows, self.schema, self.defaults)
+        for c in self.not_null:
+            rows = rows.withColumn(c, F.coalesce(c, F.raise_error(F.lit(f"23502: {c} is null")).cast(self.schema[c].dataType)))
+        if not self.key:
+            return super().insert(rows, tries)
+        base = self.version  # a key is unique in the version that was read, so another writer's rows are a conflict
+        new = self._write(unique_rows(self.read(version=base), rows, list(self.key)))
+        return self._log(base, self._entry(base)["files"] + new, self.schema)
+
+
 def deleted(target: DataFrame, cond: Column) -> DataFrame:
     """The rows for which the condition is not true."""
     return target.where(~F.coalesce(cond, F.lit(False)))

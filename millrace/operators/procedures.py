@@ -5,6 +5,7 @@ They act on Spark's catalog. Loops go over names of tables or variables, never o
 
 from __future__ import annotations
 
+import contextlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,63 @@ def plan_of(df: DataFrame, mode: str = "formatted") -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """ALTER SESSION SET for a block: names with __ for a dot; what they were before comes back at its end."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tagged(spark: SparkSession, tag: str, run):
+    """Run a statement under a tag, by which another thread can kill it."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        return run()
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def kill(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def create_indexes(df: DataFrame, rid: str, threshold: float) -> dict[str, DataFrame]:
+    """Bitmap indexes for the columns of few values, by name."""
+    from millrace.operators import bitmaps
+    from millrace.operators import table_functions as T
+
+    names = [r[0] for r in T.index_candidates(df.drop(rid), threshold).collect()]  # names of columns
+    return {c: bitmaps.build(df, c, rid) for c in names}
+
+
+class Servers:
+    """Foreign servers by name, each with a reader of its objects; a foreign table is read when it is used."""
+
+    def __init__(self):
+        self._all: dict[str, object] = {}
+
+    def create(self, name: str, reader) -> None:
+        """reader(object name) gives a DataFrame."""
+        if name in self._all:
+            raise ValueError(f"server {name} exists")
+        self._all[name] = reader
+
+    def drop(self, name: str) -> None:
+        del self._all[name]
+
+    def table(self, server: str, name: str) -> DataFrame:
+        if server not in self._all:
+            raise LookupError(f"no server {server}")
+        return self._all[server](name)
+
+
 class Routines:
     """Functions of the user's own by name and types of arguments; the first whose types the arguments have is taken,
     else the first to whose types they can be widened."""

@@ -221,6 +221,57 @@ def sequence_cycle(spark, sf_dir):
     return s.assign(load(spark, sf_dir, "nation").where("n_nationkey < 8").select((F.col("n_nationkey") + 1).alias("k")), ["k"], "id")
 
 
+@query("SELECT row_number() OVER (ORDER BY n_name) AS id, n_name, 'none' AS note, n_nationkey AS k FROM nation")
+def table_definition(spark, sf_dir):
+    """Defaults, an identity, a key and a column that must not be null."""
+    schema = T.StructType().add("id", "long").add("n_name", "string").add("note", "string").add("k", "integer")
+    t = dml.DefinedTable(spark, fresh(spark, "defined"), schema, {"note": F.lit("none")}, ("n_name",), ("k",), ("id", TF.Sequence(), ["n_name"]))
+    t.insert(load(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k")))
+    return t.read()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1")
+def dml_savepoint_rollback(spark, sf_dir):
+    t = _table(spark, load(spark, sf_dir, "nation"))
+    t.delete(F.col("n_regionkey") == 1)
+    t.label("savepoint")
+    t.update(F.lit(True), {"n_name": F.lit("lost")})
+    t.truncate()
+    t.restore("savepoint")
+    return t.read()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1")
+def dml_backup_restore(spark, sf_dir):
+    """A backup stays as it was, whatever happens to the table."""
+    t = _table(spark, load(spark, sf_dir, "nation"))
+    t.delete(F.col("n_regionkey") == 1)
+    copy = t.backup(fresh(spark, "backup"))
+    t.truncate()
+    return copy.read()
+
+
+@query("SELECT 'second writer' AS name, true AS raised, count(*) AS n FROM nation WHERE n_regionkey <> 1")
+def dml_conflict(spark, sf_dir):
+    """Two deletes that read one version: the second is told of the first."""
+    t = _table(spark, load(spark, sf_dir, "nation"))
+    base = t.version
+    t.delete(F.col("n_regionkey") == 1, base)
+    try:
+        t.delete(F.col("n_regionkey") == 2, base)
+        raised = False
+    except dml.Conflict:
+        raised = True
+    return t.read().agg(F.lit("second writer").alias("name"), F.lit(raised).alias("raised"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) AS ids, true AS from_zero FROM orders")
+def row_ids(spark, sf_dir):
+    """Row ids of a scan: file and place in it."""
+    o = load(spark, sf_dir, "orders").select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return o.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("f", "i").alias("ids"), (F.min("i") == 0).alias("from_zero"))
+
+
 # Catalog
 _TABLES = ["customer", "nation", "orders", "region"]
 
@@ -280,6 +331,94 @@ def sql_advisor(spark, sf_dir):
     return spark.createDataFrame([(k, procedures.sql_problem(spark, v) is None) for k, v in cases.items()], "name string, fine boolean")
 
 
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1")
+def ddl_views(spark, sf_dir):
+    """CREATE, CREATE OR REPLACE and DROP of views, one over the other."""
+    a, b = (f"v_{uuid.uuid4().hex}" for _ in range(2))
+    load(spark, sf_dir, "nation").createOrReplaceTempView(a)
+    spark.sql(f"CREATE TEMPORARY VIEW {b} AS SELECT n_name, n_regionkey FROM {a} WHERE n_regionkey = 0")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {b} AS SELECT n_name FROM {a} WHERE n_regionkey = 1")
+    out = spark.sql(f"SELECT n_name FROM {b}")
+    spark.sql(f"DROP VIEW {b}")
+    spark.sql(f"DROP VIEW {a}")
+    return out
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def foreign_server(spark, sf_dir):
+    """Tables of two servers, one of Parquet and one of text files."""
+    servers, path = procedures.Servers(), fresh(spark, "region")
+    flatfile.export(load(spark, sf_dir, "region"), path)
+    servers.create("lake", lambda name: load(spark, sf_dir, name))
+    servers.create("files", lambda name: flatfile.read(spark, path)[0])
+    return servers.table("lake", "nation").join(servers.table("files", "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT * FROM (VALUES ('inside', '3'), ('after', 'as before')) t(name, value)")
+def session_parameters(spark, sf_dir):
+    """ALTER SESSION SET holds for a block."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with procedures.settings(spark, spark__sql__shuffle__partitions="3"):
+        inside = spark.conf.get(key)
+    return spark.createDataFrame([("inside", inside), ("after", "as before" if spark.conf.get(key) == before else "changed")], "name string, value string")
+
+
+@query("SELECT 'killed' AS outcome")
+def kill_statement(spark, sf_dir):
+    """A statement that would run for long is killed by its tag."""
+    import threading
+    import time
+
+    tag, out = f"kill-{uuid.uuid4().hex}", []
+
+    def run():
+        try:
+            procedures.tagged(spark, tag, lambda: spark.range(10**12).selectExpr("sum(id * id % 7)").collect())
+            out.append("ended")
+        except Exception:  # noqa: BLE001 the error of a cancelled job
+            out.append("killed")
+
+    t = threading.Thread(target=run)
+    t.start()
+    for _ in range(100):
+        time.sleep(0.2)
+        procedures.kill(spark, tag)
+        if not t.is_alive():
+            break
+    t.join(60)
+    return spark.createDataFrame([(out[0],)], "outcome string")
+
+
+@query("SELECT 'o_orderstatus' AS column_name, count(DISTINCT o_orderstatus) AS keys, count(*) AS n FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(*) FROM orders")
+def create_indexes(spark, sf_dir):
+    """Bitmap indexes for all columns of few values."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    out = [i.agg(F.lit(c).alias("column_name"), F.count_distinct("key").alias("keys"), F.sum(F.bitmap_count("bitmap")).alias("n")) for c, i in sorted(procedures.create_indexes(o, "o_orderkey", 1).items())]
+    return out[0].unionByName(out[1]) if len(out) == 2 else out[0]
+
+
+# Remote databases: one in this process's memory stands for them
+def _remote(spark, sf_dir):
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    for t in ("nation", "region"):
+        load(spark, sf_dir, t).coalesce(1).write.jdbc(url, t, "errorifexists")
+    return url
+
+
+@query("SELECT n_name, n_regionkey FROM nation WHERE n_nationkey > 10 AND n_regionkey = 2")
+def jdbc_query(spark, sf_dir):
+    """Filters on a remote query go to the remote side."""
+    rows = catalog.jdbc(spark, _remote(spark, sf_dir), 'SELECT "n_nationkey", "n_name", "n_regionkey" FROM nation')
+    return rows.where("n_nationkey > 10 AND n_regionkey = 2").select("n_name", "n_regionkey")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 2")
+def jdbc_join_push_down(spark, sf_dir):
+    """A join of two remote tables is done there."""
+    return catalog.jdbc(spark, _remote(spark, sf_dir), 'SELECT n."n_name", r."r_name", r."r_regionkey" FROM nation n JOIN region r ON n."n_regionkey" = r."r_regionkey"').where("r_regionkey = 2").select("n_name", "r_name")
+
+
 # Routines
 @query("SELECT n_nationkey, n_nationkey * 10 + coalesce(n_regionkey, 0) AS v FROM nation")
 def routine_sql(spark, sf_dir):

@@ -111,3 +111,27 @@ def test_sequence(spark):
     assert [r.id for r in s.assign(d.limit(2), ["k"], "id").orderBy("k").collect()] == [7, 8]
     with pytest.raises(Exception, match="2200H"):
         s.assign(d, ["k"], "id").collect()
+
+
+def test_defined_table(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("id", "long").add("k", "integer").add("v", "string").add("w", "string")
+    t = dml.DefinedTable(spark, str(tmp_path / "d"), schema, {"w": F.lit("d")}, ("v",), ("k",), ("id", TF.Sequence(10, 5), ["k"]))
+    t.insert(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"))
+    t.insert(spark.createDataFrame([(3, "c")], "k int, v string"))
+    want = [(10, 1, "a", "d"), (15, 2, "b", "d"), (20, 3, "c", "d")]
+    assert sorted(tuple(r) for r in t.read().collect()) == want
+    for bad, text in (((1, "x"), "23505"), ((9, None), "23502"), ((None, "x"), "23502")):
+        with pytest.raises(Exception, match=text):
+            t.insert(spark.createDataFrame([bad], "k int, v string"))
+    assert sorted(tuple(r) for r in t.read().collect()) == want
+
+
+def test_savepoint_and_backup(spark, table, tmp_path):
+    table.label("a")
+    table.truncate()
+    copy = table.backup(str(tmp_path / "copy"), "a")
+    assert table.read().count() == 0 and copy.read().count() == 10
+    table.restore("a")
+    assert table.read().count() == 10

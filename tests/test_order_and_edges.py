@@ -142,3 +142,20 @@ def test_remote_queries(spark):
     spark.createDataFrame([(1, 10.0), (1, 5.0)], "k int, x double").write.jdbc(url, "u", "overwrite")
     got = catalog.jdbc(spark, url, 'SELECT t."v" AS v, u."x" AS x FROM t JOIN u ON t."k" = u."k"')
     assert sorted(tuple(r) for r in got.collect()) == [("a", 5.0), ("a", 10.0)]
+
+
+def test_settings_and_servers(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), procedures.settings(spark, spark__sql__shuffle__partitions="7"):
+        assert spark.conf.get(key) == "7"
+        raise KeyError
+    assert spark.conf.get(key) == before
+    s = procedures.Servers()
+    s.create("a", lambda name: spark.range(len(name)))
+    assert s.table("a", "four").count() == 4
+    with pytest.raises(ValueError):
+        s.create("a", None)
+    s.drop("a")
+    with pytest.raises(LookupError):
+        s.table("a", "x")

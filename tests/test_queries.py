@@ -5,7 +5,7 @@ import pytest
 
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events pages".split()
 
 
 def text(v):
