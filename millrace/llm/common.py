@@ -106,6 +106,12 @@ def texts(values) -> pd.Series:
     return pd.Series(list(values), dtype=object)
 
 
+def to_buckets(frames: DataFrame) -> DataFrame:
+    """Frames (bucket, ...) with bucket b in partition b modulo the number of partitions: as many buckets in each."""
+    n = parts(frames.sparkSession)
+    return frames.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int"))
+
+
 def deal(rows: np.ndarray, key: np.ndarray, n: int) -> pd.DataFrame:
     """Rows of a structured array as one blob for each bucket (key modulo n)."""
     bucket = (key % np.uint64(n)).astype(np.int32)

@@ -266,7 +266,7 @@ def _met(entries: DataFrame) -> DataFrame:
             p = p[kernels.runs(*p.T)]
             yield pd.DataFrame({"a": pd.array(p[:, 0], dtype="Int64"), "b": pd.array(p[:, 1], dtype="Int64"), "bit": none(len(p))})
 
-    return common.written(entries.mapInPandas(deal, "bucket int, blob binary").repartition(n_parts, "bucket").mapInPandas(meet, "a long, b long, bit long"), "jaccard-met")
+    return common.written(common.to_buckets(entries.mapInPandas(deal, "bucket int, blob binary")).mapInPandas(meet, "a long, b long, bit long"), "jaccard-met")
 
 
 def _hot(entries: DataFrame, bits: np.ndarray) -> DataFrame:

@@ -210,7 +210,7 @@ def _met(phrases: DataFrame) -> DataFrame:
             out = windows.to_rows(np.concatenate([_covered(e[again]), _asks(e[some & head], 1)]), n)
             yield out.assign(bit=pd.array([None] * len(out), dtype="Int64"))
 
-    return common.written(phrases.mapInPandas(deal, "bucket int, blob binary").repartition(n, "bucket").mapInPandas(meet, "bucket int, blob binary, bit long"), "phrase-answers")
+    return common.written(common.to_buckets(phrases.mapInPandas(deal, "bucket int, blob binary")).mapInPandas(meet, "bucket int, blob binary, bit long"), "phrase-answers")
 
 
 def _hot(phrases: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -315,7 +315,7 @@ def _ordered(items: DataFrame) -> DataFrame:
             yield windows.to_rows(windows.spans_of(windows.entries(at["m"], at["m"], at["key"], at["key"], at["start"] + number), WIDTH), n)
             a = b
 
-    return items.repartition(n, "bucket").mapInPandas(run, "bucket int, blob binary")
+    return common.to_buckets(items).mapInPandas(run, "bucket int, blob binary")
 
 
 def repeats(base: DataFrame) -> DataFrame:

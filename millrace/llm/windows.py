@@ -85,7 +85,7 @@ def to_rows(e: np.ndarray, n: int) -> pd.DataFrame:
 
 
 def dealt(frames: DataFrame) -> DataFrame:
-    return frames.repartition(common.parts(frames.sparkSession), "bucket")
+    return common.to_buckets(frames)
 
 
 def gathered(frames: DataFrame, dtype: np.dtype) -> DataFrame:
