@@ -214,7 +214,7 @@ def sequence_next_value(spark, sf_dir):
     return s.assign(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "id")
 
 
-@query("SELECT k, CASE WHEN k <= 5 THEN 5 + 2 * k ELSE 5 + 2 * (k - 5) END AS id FROM (SELECT n_nationkey + 1 AS k FROM nation WHERE n_nationkey < 8)")
+@query("SELECT k, CAST(CASE WHEN k <= 5 THEN 5 + 2 * k ELSE 5 + 2 * (k - 5) END AS BIGINT) AS id FROM (SELECT n_nationkey + 1 AS k FROM nation WHERE n_nationkey < 8)")
 def sequence_cycle(spark, sf_dir):
     """A cycle begins at the minimum again."""
     s = TF.Sequence(7, 2, low=7, high=15, cycle=True)

@@ -368,4 +368,4 @@ def top_n_positions(spark, sf_dir):
     return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("n"))  # 25 rows
 
 
-register("client_row_limit", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS n FROM (SELECT * FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 12) t", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS n FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 12) t")
+register("client_row_limit", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS n FROM (SELECT * FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 12) t")
