@@ -233,6 +233,7 @@ def encode_sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     model = model or common.tokenizer_path(MODEL)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @common.trimmed
     def run(frames):
         m = lattices(model, alpha)
         for f in frames:
@@ -256,6 +257,7 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
     rows = rows.select(*cols)
     schema = f"k {rows.schema['k'].dataType.simpleString()}, decoded string" + "".join(f", c{n} {rows.schema[f'c{n}'].dataType.simpleString()}" for n in range(len(keep)))
 
+    @common.trimmed
     def run(frames):
         m = lattices(model, 1.0)
         for f in frames:
