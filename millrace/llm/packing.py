@@ -83,14 +83,20 @@ class WordIds:
     def encode_words(self, words: list[str]) -> list[bytes]:
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        whole = {w for w in words if not w.isascii() and OTHER.search(w) or "<|" in w}
-        cut = [(w,) if w in whole else PRE.findall(w.lower()) for w in words]
-        known = self.parts
+        whole, cut, known = set(), [], self.parts
+        for w in words:
+            if w.isalpha() and w.isascii():
+                cut.append((w if w.islower() else w.lower(),))
+            elif not w.isascii() and OTHER.search(w) or "<|" in w:
+                whole.add(w)
+                cut.append((w,))
+            else:
+                cut.append(PRE.findall(w.lower()))
         new = list({p for c in cut for p in c if p not in known} - whole)
         self.learn(new)
         as_is = list(whole)
         known.update(zip(as_is, self.library(as_is), strict=True))
-        out = [b"".join([known[p] for p in c]) for c in cut]
+        out = [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut]
         for p in (*as_is, *new):
             if len(p) > 64 or p in whole:
                 del known[p]
@@ -125,6 +131,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     model = model or common.tokenizer_path(MODEL)
     kind = docs.schema[id_col].dataType
 
+    @common.trimmed
     def run(frames):
         import os
 
@@ -139,7 +146,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             for a, b in kernels.batches(raw, common.BATCH_BYTES):  # the larger, the fewer words are looked up
                 of, piece, start, length, check, ids = [], [], [], [], [], []
                 name = [hashlib.blake2b(x, digest_size=16).digest() for x in raw[a:b]]
-                if len(done) > 200_000:
+                if len(done) > 50_000:
                     done.clear()
                 todo = [i for n, i in {n: i for i, n in enumerate(name, a)}.items() if n not in done]
                 for i, x in zip(todo, m.encode([texts[i] for i in todo]), strict=True):  # equal texts are encoded once
