@@ -447,7 +447,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[D
     info = classes.join(comps.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left")
     info = common.written(info.select("hi", "lo", "first", F.coalesce("component", "cls").alias("comp"), (F.col("docs") - 1 + F.coalesce("s", F.lit(0))).alias("n_links")), "jaccard-info")
     common.drop_written(classes, met, pairs, hot, wanted, sets, links, comps)
-    lowest = info.groupBy("comp").agg(F.min("first").alias("component_id"))
+    lowest = common.written(info.groupBy("comp").agg(F.min("first").alias("component_id")), "jaccard-lowest")  # so that a large component's join can be split
     return members, info.join(lowest, "comp").select("hi", "lo", "comp", "component_id", "n_links")
 
 

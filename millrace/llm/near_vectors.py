@@ -155,7 +155,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     info = classes.select("cls", "class", "rep", "n").join(counts, "cls", "left").join(comps.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     info = common.written(info.select("class", "comp", "rep", (F.col("n") - 1 + F.coalesce("s", F.lit(0))).alias("n_links")), "vector-info")
     common.drop_written(classes, keys, shared, links, comps)
-    low = info.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    low = common.written(info.groupBy("comp").agg(F.min("rep").alias("component_id")), "vector-lowest")  # so that a large component's join can be split
     out = members.join(info.join(low, "comp").select("class", "n_links", "component_id"), "class", "left")
     own_id = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), own_id.alias("component_id"), F.col("id").eqNullSafe(own_id).alias("kept"))
