@@ -115,12 +115,16 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
     wrote = common.written(rows.mapInPandas(run, "k string, n_bytes long, digest string, shard string, offset long, length long"), "media-written")
-    one = wrote.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    one = common.written(wrote.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")), "media-places")  # so that the join of a digest with many rows can be split
     return common.written(wrote.select("k", "n_bytes", "digest").join(one, "digest").select("k", "n_bytes", "digest", "at.*"), "media-index")
 
 
 def metadata(index: DataFrame) -> DataFrame:
-    """The index with width, height, depth and colour, from header-only range reads."""
+    """The index with width, height, depth and colour, from header-only range reads.
+
+    Its rows are dealt by ranges of place, so that tasks are as many as the payloads need and each reads forward.
+    """
+    index = index.repartitionByRange(common.parts(index.sparkSession), "shard", "offset", "k")
 
     def run(frames):
         reader = storage.Reader()
