@@ -56,6 +56,27 @@ def test_overlap_join(spark):
     assert sorted((x.i, x.j) for x in R.overlap_join(a, b, "s", "e", "s2", "e2", 1.0).collect()) == want
 
 
+def test_overlap_pairs(spark):
+    rnd = random.Random(5)
+    some = [(i, a / 2, a / 2 + rnd.choice([-1.0, 0.0, 0.5, 2.5, 300.0])) for i, a in enumerate(rnd.randrange(-40, 120) for _ in range(90))] + [(3, 0.0, 9.0), (200, None, 1.0), (201, 1.0, None)]
+    d = spark.createDataFrame(some, "k int, s double, e double")
+    want = sorted((i, j) for i, s, e in some for j, t, f in some if i < j and None not in (s, e, t, f) and s < e and t < f and s < f and t < e)
+    assert sorted(tuple(r) for r in R.overlap_pairs(d, "k", "s", "e", 0.5).collect()) == want
+
+
+def test_range_join_makes_pairs_from_arrays(spark):
+    """What is sorted, sent or held for the join is a bin's ranges as arrays and the points near ranges, no row for a pair."""
+    p = spark.range(40_000).selectExpr("id AS i", "IF(id < 300, 7.5, 1000.0 + id) AS at")
+    r = spark.range(3000).selectExpr("id AS j", "CAST(id % 8 AS double) AS lo", "id % 8 + IF(id % 100 = 0, 500.0, 1.0) AS hi", "map('k', id) AS m")
+    for some in (r, r.drop("m")):
+        df = R.range_join(p, some, "at", "lo", "hi", 1.0)
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate inline(__rows" in text and "NestedLoop" not in text
+        got = df.agg(F.count("*"), F.count_distinct("i", "j"), F.sum("j")).first()
+        want = [j for j in range(3000) if j % 8 <= 7.5 < j % 8 + (500 if j % 100 == 0 else 1)]
+        assert tuple(got) == (300 * len(want), 300 * len(want), 300 * sum(want))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_as_of_over_cuts(spark, parts):
     rnd, day = random.Random(parts), datetime.datetime(2024, 1, 1)
