@@ -77,6 +77,11 @@ def test_range_join_makes_pairs_from_arrays(spark):
         assert tuple(got) == (300 * len(want), 300 * len(want), 300 * sum(want))
 
 
+@pytest.mark.parametrize("name", ["join_range_binned", "join_range_long", "period_overlaps_binned"])
+def test_range_queries_make_pairs_from_arrays(spark, sf_dir, name):
+    assert "Generate inline(__rows" in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_as_of_over_cuts(spark, parts):
     rnd, day = random.Random(parts), datetime.datetime(2024, 1, 1)
